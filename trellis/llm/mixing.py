@@ -88,22 +88,50 @@ def pivotal_round(docs: DataFrame, seed: int = 7, bucket: int = BUCKET) -> DataF
     The tree has as many levels as it takes for the largest source to come down to one bucket."""
     counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("of"))
     most = counts.agg(F.max("of")).first()[0] or 0
-    settled, open_, level = [], _with(docs, counts), 0
-    while most and (level == 0 or bucket**level < most):
+    if not most:
+        return docs.select("id", "k", F.lit(0).alias("extra"))
+    docs = _with(docs, counts)
+    # about a bucket of documents a source waits for the root, to make up for what is left there
+    waits = _unit(F.lit(seed + 99), F.col("id"), F.col("k")) * F.col("of") < bucket
+    settled, open_, level = [], docs.where(~waits), 0
+    while True:
+        root = bucket ** (level + 1) >= most
         buckets = F.ceil(F.col("of") / F.lit(float(bucket ** (level + 1))))
         key = F.pmod(F.xxhash64(F.lit(seed + level), "id", "k"), buckets)
-        # long documents meet first, so that what remains at the end is a short one as a rule
+        here = open_.unionByName(docs.where(waits)) if root else open_
         ranked = F.struct(F.col("n").alias("by"), _unit(F.lit(seed), F.col("id"), F.col("k")).alias("u"), F.struct("k", "id", "n", "p").alias("i"))
-        items = open_.groupBy("source", "of", key.alias("b")).agg(F.sort_array(F.collect_list(ranked), asc=False).alias("x"))
+        items = here.groupBy("source", "of", key.alias("b")).agg(F.sort_array(F.collect_list(ranked), asc=False).alias("x"))
         folded = items.select("source", "of", _fold(F.transform("x", lambda x: x["i"].cast(_ITEM)), F.lit(seed)).alias("f"))
+        if root:
+            settled.append(folded.select(F.explode(_even_out(F.col("f"))).alias("i")))
+            break
         folded = materialize(folded, "mix-level")
         settled.append(folded.select(F.explode("f.done").alias("i")))
         open_ = folded.where("f.left is not null").select("source", "of", "f.left.*")
         level += 1
-    last = open_.select(F.struct("k", "id", "n", F.round("p").alias("p")).alias("i"))
-    for more in settled:
-        last = last.unionByName(more)
-    return last.select("i.id", "i.k", F.col("i.p").cast("int").alias("extra"))
+    every = settled[0]
+    for more in settled[1:]:
+        every = every.unionByName(more)
+    return every.select("i.id", "i.k", F.col("i.p").cast("int").alias("extra"))
+
+
+def _even_out(f: Column) -> Column:
+    """The root's documents, the remaining one rounded to the nearer side; the words that this gives
+    too few or too many are made up by turning over shorter documents of the root, longest first,
+    each only where that comes closer to the target."""
+    rounded = F.transform(F.filter(F.array(f["left"]), lambda i: i.isNotNull()), lambda i: i.withField("p", F.round(i["p"])))
+    items = F.concat(f["done"], rounded)
+    miss = F.coalesce(f["left"]["n"] * (f["left"]["p"] - F.round(f["left"]["p"])), F.lit(0.0))
+    by_size = F.transform(F.sort_array(F.transform(items, lambda i: F.struct(i["n"].alias("by"), i.alias("i"))), asc=False), lambda x: x["i"])
+
+    def step(acc: Column, i: Column) -> Column:
+        gain = F.when(i["p"] == 0, i["n"]).otherwise(-i["n"]).cast("double")
+        turn = F.abs(acc["miss"] - gain) < F.abs(acc["miss"])
+        put = i.withField("p", F.when(turn, 1 - i["p"]).otherwise(i["p"]))
+        return F.struct(F.concat(acc["out"], F.array(put)).alias("out"), F.when(turn, acc["miss"] - gain).otherwise(acc["miss"]).alias("miss"))
+
+    start = F.struct(F.array().cast(f"array<{_ITEM}>").alias("out"), miss.alias("miss"))
+    return F.aggregate(by_size, start, step)["out"]
 
 
 def _with(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -126,9 +154,9 @@ def mix(documents: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS,
     size counts ``[^\\x20\\x09-\\x0D]+`` in the text (null: 0). A null source is a source of its own,
     the last. Documents without words get no copies. Rows that repeat a doc_id are told apart by k,
     in order of source, size and text, so each gets copies of its own. Reruns agree, whatever the
-    partitioning. A source's words differ from its target by half a document's size at most: that
-    of the last document of its tree, which is rounded to the nearer side. An empty table gives an
-    empty table. Only doc_id, text and source are read; other columns don't matter."""
+    partitioning. A source's words differ from its target by half a document's size at most, that
+    of the last document of its tree, and as a rule by a few words, as shorter ones make up for it.
+    An empty table gives an empty table. Only doc_id, text and source are read; other columns don't matter."""
     sizes = _keyed(documents.select("doc_id", "text", "source"))
     sizes = materialize(sizes.select("doc_id", "source", F.col("id_").alias("id"), F.col("k_").alias("k"), F.col("size_").alias("size")), "mix-sizes")
     docs = _with(sizes, source_targets(sizes, weights, most))
