@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import mixing, url_filter
+from trellis.llm import bpe, mixing, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+
+
 #: The contract's rules.
 URL_RULES = [
     url_filter.Rule("allow", "org", "/"),
@@ -49,5 +54,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
 
 
-QUERIES = {"op7_url_filters": op7_url_filters, "op10_mixing": op10_mixing}
+QUERIES = {"op2_bpe": op2_bpe, "op7_url_filters": op7_url_filters, "op10_mixing": op10_mixing}
 ORACLE_SQL = {"op7_url_filters": OP7_SQL}
