@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import bpe, mixing, url_filter
+from trellis.llm import bpe, mixing, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 #: The contract's rules.
 URL_RULES = [
     url_filter.Rule("allow", "org", "/"),
@@ -54,5 +59,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op7_url_filters": op7_url_filters, "op10_mixing": op10_mixing}
+QUERIES = {"op2_bpe": op2_bpe, "op6_simhash": op6_simhash, "op7_url_filters": op7_url_filters, "op10_mixing": op10_mixing}
 ORACLE_SQL = {"op7_url_filters": OP7_SQL}
