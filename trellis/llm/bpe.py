@@ -24,6 +24,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from trellis.deploy import ship
+
 #: Fixed value: how byte-level BPE cuts a text into pretokens.
 PRETOKEN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: A space between two runs of white space isn't a border of pretokens; such texts take the slower way.
@@ -214,6 +216,7 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] =
     or empty text has no ids, and the digests of the empty string. ids_sha256 is over the decimal
     ids joined by commas, decoded_sha256 over the bytes that the ids decode to. Repeated rows give
     repeated rows; an empty table gives an empty table. Columns not in ``keep`` aren't read."""
+    ship(df.sparkSession)
     kept = [df.schema[c] for c in keep]
     own = "n_tokens long, " + "ids array<int>, " * with_ids + "ids_sha256 string, decoded_sha256 string"
     schema = df.select(*keep).schema
@@ -245,6 +248,7 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] =
 def decode(df: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in ``keep`` and text, which the ids decode to; null ids give a null text. Bytes that
     aren't UTF-8, as of ids cut in the middle of a character, become U+FFFD."""
+    ship(df.sparkSession)
     schema = df.select(*keep).schema.add("text", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

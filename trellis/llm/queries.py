@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import bpe, mixing, simhash, url_filter
+from trellis.llm import bpe, mixing, simhash, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,10 +54,17 @@ from f left join rules r on f.rule = r.rule
 """
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(documents, _table(spark, sf_dir, "labels").where(~toxicity.held_out()))
+    found = toxicity.score(documents, model).withColumn("held_out", toxicity.held_out())
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op6_simhash": op6_simhash, "op7_url_filters": op7_url_filters, "op10_mixing": op10_mixing}
+QUERIES = {"op2_bpe": op2_bpe, "op6_simhash": op6_simhash, "op7_url_filters": op7_url_filters, "op9_toxicity": op9_toxicity, "op10_mixing": op10_mixing}
 ORACLE_SQL = {"op7_url_filters": OP7_SQL}

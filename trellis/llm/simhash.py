@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trellis.deploy import ship
 from trellis.llm.components import components
 from trellis.llm.shared import materialize
 
@@ -53,6 +54,7 @@ def fingerprint_of(text: str | None, words: int = 3, seed: int = 42) -> int:
 
 def fingerprints(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), words: int = 3) -> DataFrame:
     """The columns in ``keep`` and fp, the fingerprint as a signed long. A null or blank text has 0."""
+    ship(df.sparkSession)
     schema = df.select(*keep).schema.add("fp", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
