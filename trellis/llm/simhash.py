@@ -76,7 +76,8 @@ def _may_link(points: DataFrame) -> DataFrame:
     keys = F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(_block_masks())])
     rows = points.select("fp", F.explode(keys).alias("key")).select("fp", "key.i", "key.k")
     shared = rows.groupBy("i", "k").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("i", "k")
-    return rows.join(shared, ["i", "k"], "left_semi").select("fp").distinct()
+    # Spark takes exploded rows for as few as their source has; the hint keeps it from broadcasting them
+    return rows.hint("merge").join(shared, ["i", "k"], "left_semi").select("fp").distinct()
 
 
 def ball_links(points: DataFrame) -> DataFrame:
@@ -89,7 +90,7 @@ def ball_links(points: DataFrame) -> DataFrame:
     moved = near.select("fp", F.posexplode(flips)).select("fp", F.col("fp").bitwiseXOR(F.col("col")).alias("z"), (F.col("pos") < len(inner)).alias("inside"))
     met = moved.groupBy("z").agg(F.min(F.when(F.col("inside"), F.col("fp"))).alias("hub"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
     met = met.where("hub is not null and lo <> hi").select("z", "hub")
-    pairs = moved.join(met, "z").where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
+    pairs = moved.hint("merge").join(met, "z").where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
 
 
