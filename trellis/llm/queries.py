@@ -6,13 +6,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import bpe, mixing, simhash, toxicity, url_filter
+from trellis.llm import bpe, hnsw, mixing, simhash, topk, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
+OP1_SQL = """
+with v as (select vec_id, list_transform(embedding, x -> floor(1024 * x::double)) as e from embeddings
+           where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+p as (select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score
+      from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+from p qualify rank <= 10
+"""
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
@@ -54,6 +68,10 @@ from f left join rules r on f.rule = r.rule
 """
 
 
+def op8_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(documents, _table(spark, sf_dir, "labels").where(~toxicity.held_out()))
@@ -66,5 +84,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op6_simhash": op6_simhash, "op7_url_filters": op7_url_filters, "op9_toxicity": op9_toxicity, "op10_mixing": op10_mixing}
-ORACLE_SQL = {"op7_url_filters": OP7_SQL}
+QUERIES = {"op1_exact_topk": op1_exact_topk, "op2_bpe": op2_bpe, "op6_simhash": op6_simhash, "op7_url_filters": op7_url_filters, "op8_hnsw": op8_hnsw, "op9_toxicity": op9_toxicity, "op10_mixing": op10_mixing}
+ORACLE_SQL = {"op1_exact_topk": OP1_SQL, "op7_url_filters": OP7_SQL}
