@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import bpe, hnsw, mixing, secrets, simhash, topk, toxicity, url_filter
+from trellis.llm import bpe, hnsw, line_dedup, mixing, secrets, simhash, topk, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,11 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(secrets.written(F.col("base")), 256).alias("base_sha256"), spans.alias("spans"), "n_live", "n_copied")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -92,5 +97,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
 
 
-QUERIES = {"op1_exact_topk": op1_exact_topk, "op2_bpe": op2_bpe, "op4_secrets": op4_secrets, "op6_simhash": op6_simhash, "op7_url_filters": op7_url_filters, "op8_hnsw": op8_hnsw, "op9_toxicity": op9_toxicity, "op10_mixing": op10_mixing}
+QUERIES = {"op1_exact_topk": op1_exact_topk, "op2_bpe": op2_bpe, "op4_secrets": op4_secrets, "op5_line_dedup": op5_line_dedup, "op6_simhash": op6_simhash, "op7_url_filters": op7_url_filters, "op8_hnsw": op8_hnsw, "op9_toxicity": op9_toxicity, "op10_mixing": op10_mixing}
 ORACLE_SQL = {"op1_exact_topk": OP1_SQL, "op7_url_filters": OP7_SQL}
