@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trellis.deploy import ship
@@ -94,6 +95,15 @@ def ball_links(points: DataFrame) -> DataFrame:
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
 
 
+def _named(rows: DataFrame, key: str) -> DataFrame:
+    """rows: key, fp. fp, component_id for each fingerprint."""
+    points = rows.groupBy("fp").agg(F.min(key).alias("first"))
+    roots = materialize(components(ball_links(points), "a", "b"), "simhash-roots")
+    of = points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    first = of.groupBy("root").agg(F.min("first").alias("component_id"))
+    return of.join(first, "root").select("fp", "component_id")
+
+
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 3) -> DataFrame:
     """One row for each row of ``df``: the key, fp (signed long) and component_id, the smallest key that can
     be reached over links, its own included.
@@ -102,9 +112,14 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", word
     like any other. Rows with a null key have a component_id too, unless they are alone in theirs.
     Repeated rows give repeated rows; an empty table gives an empty table."""
     rows = materialize(fingerprints(df, text, (key,), words), "simhash-fp")
-    points = rows.groupBy("fp").agg(F.min(key).alias("first"))
-    roots = materialize(components(ball_links(points), "a", "b"), "simhash-roots")
-    of = points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    first = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = of.join(first, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(key, "fp", "component_id")
+    return rows.join(_named(rows, key), "fp").select(key, "fp", "component_id")
+
+
+def one_of_each(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 3) -> DataFrame:
+    """The rows of ``df``, with its columns, that stand for their group: of each component the one with the
+    smallest key. Rows that repeat that key give one row, the first by a hash of the text. Rows with
+    a null key stay where no other row of their component has a key."""
+    rows = materialize(fingerprints(df, text, (key, text, *(c for c in df.columns if c not in (key, text))), words), "simhash-fp")
+    met = rows.join(_named(rows.select(key, "fp"), key), "fp").where(F.col(key).eqNullSafe(F.col("component_id")))
+    first = W.partitionBy(key, F.when(F.col(key).isNull(), F.col("fp"))).orderBy(F.xxhash64(text), "fp")
+    return met.withColumn("row_", F.row_number().over(first)).where("row_ = 1").select(*df.columns)
