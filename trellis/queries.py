@@ -1,6 +1,8 @@
-"""The registered queries of the reference operators, each with SQL that gives the same rows."""
+"""The registered queries of the reference operators, each with SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from trellis.plans import directory, ledger, lists, metrics, texts  # noqa: F401  they register their queries
+from trellis.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
