@@ -13,7 +13,7 @@ CRLF = "\r\n"
 def ics_text(text: ColumnOrName) -> Column:
     """Escaped for a calendar: backslashes, semicolons, commas and line breaks."""
     out = _col(text)
-    for a, b in (("\\", "\\\\"), (";", "\;"), (",", "\\,"), ("\n", "\\n")):
+    for a, b in (("\\", "\\\\"), (";", "\\;"), (",", "\\,"), ("\n", "\\n")):
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
 
