@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by inner product: one HNSW graph for each shard, flat arrays throughout.
 
-A shard's distinct vectors are scaled to a ball and given one more coordinate, so that all have the
-same length and the largest inner product is the nearest neighbour. Each node draws a level; layer l
+Nodes are a shard's distinct vectors, and near is what has a large inner product, while linking as while
+searching: so the long vectors, which are most queries' answers, are what nodes link to. Each node draws a level; layer l
 holds the nodes of level l and up. Layers are built from the top, nodes in batches: a batch searches
 the layer as it stands, from where the layer above leads, chooses diverse neighbours and is linked
 both ways. A layer is one array of neighbours, -1 where there are fewer. The index is a table, a row
@@ -24,18 +24,23 @@ SHARD_ROWS, BLOCK_ROWS = 16_384, 4_096
 M, M0, EF_BUILD, EF_SEARCH = 16, 32, 64, 160
 #: So many first nodes of a layer are linked by comparing all of them; nodes of a batch; nodes opened at a time.
 FIRST, BATCH, WIDE = 1_024, 512, 4
+#: A search begins from so many of the longest vectors too.
+LONGEST = 16
 
 
 def beam(x: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
     """The ef nearest nodes that a best-first search finds for each query, nearest first: numbers (-1:
-    none) and similarities. entry: a node for each query."""
+    none) and similarities. entry: a node for each query, or a row of different ones (-1: none)."""
     n, rows = len(queries), np.arange(len(queries))[:, None]
+    entry = entry.reshape(n, -1)[:, :ef]
     seen = np.zeros((n, len(x) + 1), bool)
     seen[:, -1] = True  # where there is no neighbour
     found = np.full((n, ef), -1)
     near, opened = np.full((n, ef), -np.inf, x.dtype), np.zeros((n, ef), bool)
-    found[:, 0], near[:, 0] = entry, np.einsum("ij,ij->i", queries, x[entry])
-    seen[rows[:, 0], entry] = True
+    begin = np.where(entry < 0, -np.inf, np.matmul(x[entry], queries[:, :, None])[:, :, 0])
+    order = np.argsort(-begin, axis=1, kind="stable")
+    found[:, : entry.shape[1]], near[:, : entry.shape[1]] = np.take_along_axis(entry, order, 1), np.take_along_axis(begin, order, 1)
+    seen[rows, entry] = True
     live = np.arange(n)
     while len(live):
         # the nearest that aren't opened yet; what isn't there counts as opened
@@ -183,7 +188,7 @@ def build_index(rows: DataFrame, shards: int, width: int) -> DataFrame:
         most = np.abs(distinct).max()
         x = distinct / most  # so that squares stay finite
         reach = np.linalg.norm(x, axis=1).max()
-        x = np.concatenate([x / reach, np.sqrt(np.maximum(0, 1 - (np.linalg.norm(x, axis=1) / reach) ** 2))[:, None]], 1).astype(np.float32)
+        x = (x / reach).astype(np.float32)
         graph = build(x)
         put = {"ids": ids[by_node].astype(np.int64), "vectors": distinct, "counts": np.bincount(node, minlength=len(distinct)).astype(np.int64), "x": x}
         put |= {"sizes": np.array([len(a) - 1 for a in graph.layers], np.int64), "links": np.concatenate([a[:-1].ravel() for a in graph.layers]).astype(np.int32)}
@@ -202,7 +207,7 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, shards: int, bloc
         if left.num_rows and len(query_ids):
             get = lambda name, kind: np.frombuffer(left.column(name)[0].as_py(), kind)
             counts, sizes, ids = get("counts", np.int64), get("sizes", np.int64), get("ids", np.int64)
-            vectors, x = get("vectors", np.float64).reshape(-1, width), get("x", np.float32).reshape(-1, width + 1)
+            vectors, x = get("vectors", np.float64).reshape(-1, width), get("x", np.float32).reshape(-1, width)
             flat, layers, at = get("links", np.int32), [], 0
             for layer, n in enumerate(sizes):
                 w = M if layer else M0
@@ -210,7 +215,6 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, shards: int, bloc
                 at += n * w
             graph = Graph(x, layers)
             turned = (asked / np.maximum(np.linalg.norm(asked / (m := np.abs(asked).max(1, keepdims=True)), axis=1, keepdims=True) * m, 1e-300)).astype(np.float32)
-            turned = np.concatenate([turned, np.zeros((len(turned), 1), np.float32)], 1)
             begun = np.cumsum(counts) - counts
             for lo in range(0, len(asked), BATCH):
                 part = slice(lo, min(len(asked), lo + BATCH))
@@ -235,7 +239,12 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, shards: int, bloc
 
 
 def beam_on(graph: Graph, queries: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
-    return beam(graph.x, graph.layers[0], queries, graph.entries(queries, 0), ef)
+    """A search of layer 0 from where the layers above lead and from the LONGEST longest vectors: where lengths differ
+    much, the best of a query are mostly among those."""
+    led = graph.entries(queries, 0)[:, None]
+    most = np.argsort(-np.einsum("ij,ij->i", graph.x, graph.x), kind="stable")[:LONGEST]
+    long = np.broadcast_to(most, (len(queries), len(most)))
+    return beam(graph.x, graph.layers[0], queries, np.concatenate([led, np.where(long == led, -1, long)], 1), ef)
 
 
 def nearest(rows: DataFrame, is_query: Column, k: int, key: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, ef: int = EF_SEARCH) -> DataFrame:
