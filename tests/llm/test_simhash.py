@@ -78,3 +78,7 @@ def test_one_of_each(spark):
     assert simhash.one_of_each(df).columns == df.columns
     assert simhash.one_of_each(df.unionAll(df)).count() == 3
     assert simhash.one_of_each(df.limit(0)).count() == 0
+    clash = df.withColumnRenamed("lang", "fp").withColumnRenamed("source", "component_id")
+    assert simhash.one_of_each(clash).columns == clash.columns and simhash.one_of_each(clash).count() == 3
+    nulls = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (None, "other"), (4, "a b c")], "doc_id long, text string")
+    assert sorted((r.doc_id is None, r.text) for r in simhash.one_of_each(nulls).collect()) == [(False, "a b c"), (True, "other")]

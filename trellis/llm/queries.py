@@ -43,11 +43,55 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(secrets.written(F.col("base")), 256).alias("base_sha256"), spans.alias("spans"), "n_live", "n_copied")
 
 
+def _either_case(words: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in words)
+
+
+_ASSIGN = rf"""({_either_case("password|passwd|secret|token|api_?key")})["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+)""".replace("'", "''")
+
+
+def _spans_sql(order: int, kind: str, pattern: str, group: int, least: int) -> str:
+    """Matches with the text before each, in order; what follows the last has no match."""
+    return f"""select doc_id, owner, {order} as k, '{kind}' as kind, {least} as least, unnest(regexp_extract_all(t, '{pattern}', 0)) as hit, unnest(regexp_extract_all(t, '{pattern}', {group})) as val,
+  unnest(string_split_regex(t, '{pattern}')) as gap, generate_subscripts(string_split_regex(t, '{pattern}'), 1) as i from d"""
+
+
+OP4_SQL = f"""
+with d as (select doc_id, coalesce(text, '') as t, coalesce(source, '') as owner from documents),
+e as ({_spans_sql(0, "assign", _ASSIGN, 2, 8)} union all {_spans_sql(1, "access", "AKIA[A-Z0-9]+", 0, 16)} union all {_spans_sql(2, "hex", "[0-9a-f]+", 0, 32)} union all {_spans_sql(3, "live", "[A-Za-z0-9+/_-]+", 0, 24)}),
+p as (select *, sum(length(gap) + coalesce(length(hit), 0)) over (partition by doc_id, k order by i) as upto from e),
+s as (select doc_id, owner, k, kind, val, (upto - length(hit))::bigint as a, upto::bigint as b from p where hit is not null and length(val) >= least
+      and (k < 3 or regexp_matches(val, '[0-9]') and regexp_matches(val, '[A-Z]') and regexp_matches(val, '[a-z]'))),
+o as (select val, count(distinct owner) <= 1 as rare from s group by 1),
+w as (select s.*, rare from s join o using (val)),
+x as (select * from w where k < 3 or rare and not exists (select 1 from w v where v.doc_id = w.doc_id and v.k < 3 and v.a < w.b and w.a < v.b)),
+g as (select doc_id, count(*) filter (where k = 0) as n_assign, count(*) filter (where k = 1) as n_access, count(*) filter (where k = 2) as n_hex, count(*) filter (where k < 3 and rare) as n_live, count(*) filter (where k < 3 and not rare) as n_copied,
+      string_agg(kind || ':' || a || ':' || b, ',' order by a, k) filter (where k < 3) as base, string_agg(kind || ':' || a || ':' || b, ',' order by a, k) as spans from x group by 1)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_live, 0) as n_live, coalesce(n_copied, 0) as n_copied
+from documents left join g using (doc_id)
+"""
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+OP5_SQL = """
+with s as (select doc_id, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as i from documents where text is not null and doc_id is not null),
+r as (select *, row_number() over (order by doc_id, i) as r from s),
+f as (select l, min(r) as r, length(l) as n from r where trim(l) <> '' group by 1),
+h as (select r, l, n, unnest([n, n - 1]) as m from f where n >= 32),
+k as (select r, l, n, 'a' || m || substr(l, 1, m // 2) as key from h union all select r, l, n, 'z' || m || substr(l, n - (m - m // 2) + 1) from h),
+c as (select distinct a.l as x, b.l as y, b.r, a.n as xn, b.n as yn from k a join k b on a.key = b.key and a.r < b.r where abs(a.n - b.n) <= 1 and levenshtein(a.l, b.l) <= 4),
+gone as (select distinct r from c where len(list_filter(range(0, least(xn, yn) + 1), lambda i: substr(x, 1, i) = substr(y, 1, i)
+         and substr(x, i + 1 + (xn >= yn)::int) = substr(y, i + 1 + (yn >= xn)::int))) > 0),
+t as (select doc_id, string_agg(r.l, chr(10) order by r.i) filter (where trim(r.l) = '' or f.r is not null) as kept, count(f.r) as n from r left join (select * from f where r not in (select r from gone)) f on f.r = r.r group by 1)
+select d.doc_id, case when d.text is null or d.doc_id is null then d.text when n > 0 then kept else '' end as text, length(case when d.text is null or d.doc_id is null then d.text when n > 0 then kept else '' end)::bigint as n_chars
+from documents d left join t using (doc_id)
+"""
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -102,4 +146,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_exact_topk": op1_exact_topk, "op2_bpe": op2_bpe, "op3_passages": op3_passages, "op4_secrets": op4_secrets, "op5_line_dedup": op5_line_dedup, "op6_simhash": op6_simhash, "op7_url_filters": op7_url_filters, "op8_hnsw": op8_hnsw, "op9_toxicity": op9_toxicity, "op10_mixing": op10_mixing}
-ORACLE_SQL = {"op1_exact_topk": OP1_SQL, "op7_url_filters": OP7_SQL}
+ORACLE_SQL = {"op1_exact_topk": OP1_SQL, "op4_secrets": OP4_SQL, "op5_line_dedup": OP5_SQL, "op7_url_filters": OP7_SQL}

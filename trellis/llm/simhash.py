@@ -119,7 +119,10 @@ def one_of_each(df: DataFrame, text: str = "text", key: str = "doc_id", words: i
     """The rows of ``df``, with its columns, that stand for their group: of each component the one with the
     smallest key. Rows that repeat that key give one row, the first by a hash of the text. Rows with
     a null key stay where no other row of their component has a key."""
-    rows = materialize(fingerprints(df, text, (key, text, *(c for c in df.columns if c not in (key, text))), words), "simhash-fp")
-    met = rows.join(_named(rows.select(key, "fp"), key), "fp").where(F.col(key).eqNullSafe(F.col("component_id")))
-    first = W.partitionBy(key, F.when(F.col(key).isNull(), F.col("fp"))).orderBy(F.xxhash64(text), "fp")
-    return met.withColumn("row_", F.row_number().over(first)).where("row_ = 1").select(*df.columns)
+    names = df.columns
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])  # so no column is called as one made here
+    k, t = (f"c{names.index(c)}" for c in (key, text))
+    rows = materialize(fingerprints(plain, t, tuple(plain.columns), words), "simhash-fp")
+    met = rows.join(_named(rows.select(k, "fp"), k), "fp").where(F.col(k).eqNullSafe(F.col("component_id")))
+    first = W.partitionBy(k, F.when(F.col(k).isNull(), F.col("fp"))).orderBy(F.xxhash64(t), "fp")
+    return met.withColumn("row", F.row_number().over(first)).where("row = 1").select(*plain.columns).toDF(*names)
