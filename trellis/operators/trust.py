@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trellis.functions.text import resolve_excerpt
 from trellis.functions.values import days_elapsed
+from trellis.operators.nest import nest
 
 #: States of a claim, weakest first.
 STATES = ("revoked", "rejected", "superseded", "disputed", "stale", "unknown", "proposed", "assumed", "verified")
@@ -144,6 +145,17 @@ def backfill(camps: DataFrame, existing: DataFrame) -> DataFrame:
     return claims.join(existing.select("claim_id"), "claim_id", "left_anti")
 
 
+def export(subjects: DataFrame, claims: DataFrame, evidence: DataFrame, events: DataFrame) -> DataFrame:
+    """subjects: subject_id; claims: claim_id, subject_id, field, state; evidence: evidence_id, claim_id, method,
+    source_ref; events: event_id, claim_id, state, at, actor. subject_id, bundle: all that is known as JSON, in order."""
+    full = nest(claims, "claim_id", {
+        "evidence": (evidence, "claim_id", ["evidence_id", "method", "source_ref"], ["evidence_id"]),
+        "events": (events, "claim_id", ["event_id", "state", "at", "actor"], ["at", "event_id"]),
+    })
+    packed = nest(subjects, "subject_id", {"claims": (full, "subject_id", ["claim_id", "field", "state", "evidence", "events"], ["field", "claim_id"])})
+    return packed.select("subject_id", F.to_json(F.struct("subject_id", "claims")).alias("bundle"))
+
+
 def revocations(orphaned: DataFrame, claims: DataFrame, actor: str, at: str) -> DataFrame:
     """A revoked event for every claim of the subjects that are gone. orphaned: subject_type, subject_id."""
     gone = claims.join(orphaned.select("subject_type", "subject_id").distinct(), ["subject_type", "subject_id"], "left_semi")

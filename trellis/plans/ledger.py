@@ -372,3 +372,13 @@ def n28_by_host(t: Tables) -> DataFrame:
     """Pages of a host lie together and in order; how many hosts run at once is Spark's to say."""
     rows = t.pages.select("page_id", F.regexp_extract("url", "://([^/?#]+)", 1).alias("host")).repartition("host").sortWithinPartitions("host", "page_id")
     return rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+
+
+@query("""
+select o_orderkey as subject_id, '{"subject_id":' || o_orderkey || ',"claims":[' || coalesce((select string_agg('{"claim_id":' || l || ',"field":"line","state":"verified","evidence":[{"evidence_id":' || l || ',"method":"crawl","source_ref":"' || o_orderkey || '"}],"events":[]}', ',' order by l)
+  from (select distinct l_orderkey, l_orderkey * 10 + l_linenumber as l from lineitem) where l_orderkey = o_orderkey), '') || ']}' as bundle from orders where o_orderkey % 4 = 0""")
+def n30_trust_export(t: Tables) -> DataFrame:
+    claims = t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("claim_id"), F.col("l_orderkey").alias("subject_id"), F.lit("line").alias("field"), F.lit("verified").alias("state")).distinct()
+    evidence = claims.select(F.col("claim_id").alias("evidence_id"), "claim_id", F.lit("crawl").alias("method"), F.col("subject_id").cast("string").alias("source_ref"))
+    events = claims.limit(0).select(F.col("claim_id").alias("event_id"), "claim_id", "state", F.lit("").alias("at"), F.lit("").alias("actor"))
+    return trust.export(t.orders.where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("subject_id")), claims, evidence, events)
