@@ -50,12 +50,15 @@ def read_sheet(spark: SparkSession, path: str) -> DataFrame:
     options = {"multiLine": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True, "mode": "PERMISSIVE"}
     raw = spark.read.options(**options).csv(path)
     names: list[str] = []
-    for i, cell in enumerate(next(csv.reader(lines[at : at + 1]), [])):
+    for i, cell in enumerate(next(csv.reader(line + "\n" for line in lines[at:]), [])):
         name = cell.strip().lstrip("\ufeff") or f"_c{i}"
         names.append(f"{name} ({i})" if name in names else name)
     rows = raw.select(*[F.col(c).alias(n) for c, n in zip(raw.columns, names, strict=False)])
     of = lambda c: F.col(f"`{c}`")
-    is_header = reduce(lambda a, b: a & b, [F.coalesce(F.ltrim(F.lit("\ufeff"), of(n)) == n, F.lit(False)) for n in names if not n.startswith("_c")][:3])
+    is_header = reduce(lambda a, b: a & b, [F.coalesce(F.ltrim(of(n), F.lit("\ufeff")) == n, F.lit(False)) for n in names if not n.startswith("_c")][:3])
+    for line in csv.reader(lines[:at]):  # what stands before the header
+        cells = [F.coalesce(F.ltrim(of(n), F.lit("\ufeff")), F.lit("")) == c.strip().lstrip("\ufeff") for n, c in zip(rows.columns, line, strict=False)]
+        is_header = is_header | reduce(lambda a, b: a & b, cells, F.lit(True))
     empty = F.coalesce(*[F.nullif(of(c), F.lit("")) for c in rows.columns]).isNull()
     return rows.where(~is_header & ~empty)
 

@@ -32,7 +32,7 @@ def listings(camps: DataFrame, providers: DataFrame, limit: int | None = None) -
 def put_snapshots(pages: DataFrame, path: str) -> None:
     """Append pages (source, fetched_at, body) that the store doesn't have, by hash, in folders by the hash's first letters."""
     spark = pages.sparkSession
-    rows = pages.withColumn("body_hash", F.sha2("body", 256)).withColumn("shelf", F.substring("body_hash", 1, 2))
+    rows = pages.withColumn("body_hash", F.sha2("body", 256)).withColumn("shelf", F.concat(F.lit("h-"), F.substring("body_hash", 1, 2)))  # never a number
     new = rows.dropDuplicates(["source", "body_hash"])
     try:
         known = spark.read.parquet(path).select("source", "body_hash")
@@ -52,7 +52,7 @@ def snapshots(spark: SparkSession, path: str) -> DataFrame:
 def snapshot(spark: SparkSession, path: str, prefix: str) -> DataFrame:
     """The snapshot with this hash, or the only one whose hash begins so. Only one folder is read if the prefix has two letters."""
     rows = spark.read.parquet(path)
-    rows = rows.where(F.col("shelf") == prefix[:2]) if len(prefix) >= 2 else rows
+    rows = rows.where(F.col("shelf") == f"h-{prefix[:2]}") if len(prefix) >= 2 else rows
     return by_digest_prefix(rows, "body_hash", prefix)
 
 
