@@ -30,8 +30,8 @@ from trellis.deploy import ship
 PRETOKEN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: A space between two runs of white space isn't a border of pretokens; such texts take the slower way.
 SPACES = re.compile(r"\s \s|\s \Z")
-#: Words that the cache holds; at the bound it starts anew.
-CACHE_WORDS = 400_000
+#: Words and characters that a cache holds, and pairs of tokens; beyond any of them it starts anew.
+CACHE_WORDS, CACHE_CHARS, CACHE_PAIRS = 200_000, 4_000_000, 500_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -81,7 +81,7 @@ class Vocabulary:
         """True iff ``a`` then ``b`` is how their joined bytes are encoded."""
         found = self.known.get((a, b))
         if found is None:
-            if len(self.known) > 4_000_000:
+            if len(self.known) > CACHE_PAIRS:
                 self.known.clear()
             found = self.known[a, b] = self._compatible(a, b)
         return found
@@ -160,10 +160,12 @@ class Encoder(dict):
     def _clear(self) -> None:
         self.clear()
         self.written: list[str] = []
+        self.chars = 0
         self.starts, self.sizes, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int64), 0
 
     def __missing__(self, word: str) -> int:
-        ids = self.vocabulary.encode_word(" " + word) if word.isalpha() else self.vocabulary.encode_plain(" " + word)
+        v = self.vocabulary
+        ids = [v.id_of[t] for t in v.encode_bytes(f" {word}".encode())] if word.isalpha() else v.encode_plain(" " + word)
         k, n = len(self.written), len(ids)
         while k >= len(self.starts):
             self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
@@ -172,6 +174,7 @@ class Encoder(dict):
         self.flat[self.used : self.used + n] = ids
         self.starts[k], self.sizes[k] = self.used, n
         self.used += n
+        self.chars += len(word)
         self.written.append(",".join(map(str, ids)))
         self[word] = k
         return k
@@ -182,7 +185,7 @@ class Encoder(dict):
             ids = self.vocabulary.encode_plain(text)
             return np.array(ids, np.int64), ",".join(map(str, ids))
         first, *words = text.split(" ")  # every other word starts with the space that stood there
-        if len(self) > CACHE_WORDS:
+        if len(self) > CACHE_WORDS or self.chars > CACHE_CHARS:
             self._clear()
         lead = self.vocabulary.encode_plain(first)
         codes = list(map(self.__getitem__, words))

@@ -28,8 +28,8 @@ MAX_SAMPLE = 16_000
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 4.0, 0.1, 5
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6)
-#: Words that the cache of a worker holds; at the bound it starts anew.
-CACHE_WORDS = 300_000
+#: Words and characters that the cache of a worker holds; beyond either it starts anew.
+CACHE_WORDS, CACHE_CHARS = 80_000, 2_000_000
 #: What is stripped from a word's ends.
 MARKS = ".,;:!?\"'()[]{}<>|*#%&+-_=/\\…“”«»¡¿"
 
@@ -39,7 +39,7 @@ class Words(dict):
 
     def __init__(self):
         super().__init__()
-        self.table = np.zeros((1024, 1 + len(PREFIXES)), np.uint64)
+        self.table, self.chars = np.zeros((1024, 1 + len(PREFIXES)), np.uint64), 0
 
     def __missing__(self, word: str) -> int:
         k = len(self)
@@ -49,6 +49,7 @@ class Words(dict):
         for i, text in enumerate([plain, *(plain[:n] if len(plain) > n else "" for n in PREFIXES)]):
             self.table[k, i] = xxhash.xxh64_intdigest(text.encode(), i) if text else 0
         self[word] = k
+        self.chars += len(word)
         return k
 
 
@@ -61,7 +62,7 @@ def features(text: str | None) -> np.ndarray:
     parts = (text or "").split()
     if not parts:
         return np.zeros(0, np.int32)
-    if len(_words) > CACHE_WORDS:
+    if len(_words) > CACHE_WORDS or _words.chars > CACHE_CHARS:
         _words = Words()
     numbers = list(map(_words.__getitem__, parts))  # first, as it may replace the table
     table = _words.table[numbers]
