@@ -148,9 +148,11 @@ def t08_most_alike(t: Tables) -> DataFrame:
 
 @query()
 def n11_match_or_create(t: Tables) -> DataFrame:
-    rows = _candidates(t, 0, 120).withColumn("url", F.coalesce("domain", F.lit("")))
-    existing = rows.where("id < 40").select(F.col("id").alias("camp_id"), "name", "url")
-    return matching.match_or_create(rows.where("id >= 40"), existing, lambda c: X.stripped_name(c, False))
+    """All parts are listings, all suppliers the camps that are known; their sites have the same names."""
+    site = lambda k: F.when(k % 4 == 0, F.concat(F.lit("s"), (k % 60).cast("string"), F.lit(".example.org"))).otherwise("")
+    rows = t.part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("name"), site(F.col("p_partkey")).alias("url"))
+    existing = t.supplier.select(F.col("s_suppkey").alias("camp_id"), F.col("s_name").alias("name"), site(F.col("s_suppkey")).alias("url"))
+    return matching.match_or_create(rows, existing, lambda c: X.stripped_name(c, False))
 
 
 @query("""
