@@ -36,11 +36,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Delete the files of a table that materialize() wrote and nothing needs any more."""
+    """Delete the files of a table that materialize() wrote and nothing needs any more. Spark removes the shuffles that
+    led to it once the driver's garbage collector has seen that nobody refers to them; so that is asked to look."""
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
+    jvm.System.gc()
 
 
 def ascii_lower(text: Column) -> Column:
