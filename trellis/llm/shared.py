@@ -29,20 +29,27 @@ def table_path(spark: SparkSession, tag: str) -> str:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the written table.
 
-    It cuts the lineage as a checkpoint does, and a lost executor takes none of it away."""
+    It cuts the lineage as a checkpoint does, and a lost executor takes none of it away. Shuffles of what was
+    written before stay on disk until the driver's garbage collector has seen that nobody refers to
+    them; so it is asked to look before more is written."""
+    df.sparkSession._jvm.System.gc()
     path = table_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, rows: int, *keys: str, each: int = 2_000_000) -> DataFrame:
+    """``df``, a small table that will become ``rows`` rows, dealt so that a task makes about ``each`` of them. A small
+    file is otherwise one task, however much is made of it."""
+    return df.repartition(max(1, -(-rows // each)), *keys)
+
+
 def discard(df: DataFrame) -> None:
-    """Delete the files of a table that materialize() wrote and nothing needs any more. Spark removes the shuffles that
-    led to it once the driver's garbage collector has seen that nobody refers to them; so that is asked to look."""
+    """Delete the files of a table that materialize() wrote and nothing needs any more."""
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
-    jvm.System.gc()
 
 
 def ascii_lower(text: Column) -> Column:
