@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 from tests.llm.helpers import documents, odd_texts
 from trellis.llm import line_dedup
 
@@ -19,7 +21,7 @@ def one_edit(a, b):
     return a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i:] == b[i + 1 :]
 
 
-def brute(texts, fuzzy_from=32):
+def brute(texts, fuzzy_from=5):
     seen, out = [], []
     for text in texts:
         if text is None:
@@ -43,7 +45,7 @@ def brute(texts, fuzzy_from=32):
 def test_as_comparing_all_lines(spark):
     r = random.Random(2)
     letters = "abcdefgh äö🙂"
-    pool = ["".join(r.choice(letters) for _ in range(r.choice([5, 31, 32, 33, 40, 80]))) for _ in range(40)]
+    pool = ["".join(r.choice(letters) for _ in range(r.choice([3, 4, 5, 6, 31, 40, 80]))) for _ in range(40)]
     texts = odd_texts()
     for _ in range(60):
         lines = []
@@ -68,7 +70,26 @@ def test_as_comparing_all_lines(spark):
 def test_edges(spark):
     df = documents(spark, odd_texts())
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
-    named = df.withColumnRenamed("lang", "line")
-    assert line_dedup.dedup_lines(named).columns == named.columns
     twice = line_dedup.dedup_lines(df.unionAll(df)).collect()
     assert len(twice) == 2 * len(odd_texts())
+    # of two equal rows one keeps its lines
+    once = {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
+    for i, text in once.items():
+        assert sorted(str(r.text) for r in twice if r.doc_id == i) == sorted(map(str, [text, text and ""]))
+
+
+def test_null_and_repeated_keys(spark):
+    run = lambda rows: sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, tag string")).collect())
+    assert run([(None, "x", "a"), (1, "x", "b"), (None, "x", "c")]) == [(False, 1, "x"), (True, 0, ""), (True, 0, "")]
+    assert run([(1, "dup line", "a"), (2, "uniq", "b"), (2, "dup line", "c")]) == [(False, 1, "dup line"), (False, 2, ""), (False, 2, "uniq")]
+    assert run([(3, "same", "a"), (3, "same", "b"), (3, "same", "b")]) == [(False, 3, ""), (False, 3, ""), (False, 3, "same")]
+
+
+def test_lines_that_are_set_aside_first_have_no_neighbour(spark, monkeypatch):
+    """The links with the half keys in front are those without."""
+    r = random.Random(9)
+    pool = ["".join(r.choice("abc") for _ in range(r.choice([5, 6, 9]))) for _ in range(60)]
+    df = documents(spark, ["\n".join(r.choice(pool) for _ in range(4)) for _ in range(30)])
+    with_halves = sorted(map(tuple, line_dedup.kept_lines(df).collect()))
+    monkeypatch.setattr(line_dedup, "_halves", lambda line: F.array(F.lit(1).cast("long")))  # all share a key
+    assert sorted(map(tuple, line_dedup.kept_lines(df).collect())) == with_halves

@@ -78,17 +78,18 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = """
-with s as (select doc_id, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as i from documents where text is not null and doc_id is not null),
-r as (select *, row_number() over (order by doc_id, i) as r from s),
+with d as (select row_number() over (order by doc_id nulls last, text) as rid, doc_id, text from documents),
+s as (select rid, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as i from d where text is not null),
+r as (select *, row_number() over (order by rid, i) as r from s),
 f as (select l, min(r) as r, length(l) as n from r where trim(l) <> '' group by 1),
-h as (select r, l, n, unnest([n, n - 1]) as m from f where n >= 32),
+h as (select r, l, n, unnest([n, n - 1]) as m from f where n >= 5),
 k as (select r, l, n, 'a' || m || substr(l, 1, m // 2) as key from h union all select r, l, n, 'z' || m || substr(l, n - (m - m // 2) + 1) from h),
 c as (select distinct a.l as x, b.l as y, b.r, a.n as xn, b.n as yn from k a join k b on a.key = b.key and a.r < b.r where abs(a.n - b.n) <= 1 and levenshtein(a.l, b.l) <= 4),
 gone as (select distinct r from c where len(list_filter(range(0, least(xn, yn) + 1), lambda i: substr(x, 1, i) = substr(y, 1, i)
          and substr(x, i + 1 + (xn >= yn)::int) = substr(y, i + 1 + (yn >= xn)::int))) > 0),
-t as (select doc_id, string_agg(r.l, chr(10) order by r.i) filter (where trim(r.l) = '' or f.r is not null) as kept, count(f.r) as n from r left join (select * from f where r not in (select r from gone)) f on f.r = r.r group by 1)
-select d.doc_id, case when d.text is null or d.doc_id is null then d.text when n > 0 then kept else '' end as text, length(case when d.text is null or d.doc_id is null then d.text when n > 0 then kept else '' end)::bigint as n_chars
-from documents d left join t using (doc_id)
+t as (select rid, string_agg(r.l, chr(10) order by r.i) filter (where trim(r.l) = '' or f.r is not null) as kept, count(f.r) as n from r left join (select * from f where r not in (select r from gone)) f on f.r = r.r group by 1),
+o as (select doc_id, case when d.text is null then d.text when n > 0 then kept else '' end as text from d left join t using (rid))
+select doc_id, text, length(text)::bigint as n_chars from o
 """
 
 
