@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,9 +16,11 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests, a laptop), one of our own."""
+    """The folder in spark.checkpoint.dir; where it is unset on one machine (tests, a laptop), one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-trellis-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -29,10 +33,7 @@ def table_path(spark: SparkSession, tag: str) -> str:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the written table.
 
-    It cuts the lineage as a checkpoint does, and a lost executor takes none of it away. Shuffles of what was
-    written before stay on disk until the driver's garbage collector has seen that nobody refers to
-    them; so it is asked to look before more is written."""
-    df.sparkSession._jvm.System.gc()
+    It cuts the lineage as a checkpoint does, and a lost executor takes none of it away."""
     path = table_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -44,6 +45,15 @@ def spread(df: DataFrame, rows: int, *keys: str, each: int = 2_000_000) -> DataF
     return df.repartition(max(1, -(-rows // each)), *keys)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have Spark remove the shuffles of what is written by now. They stay on the executors' disks until the driver's
+    garbage collector has seen that nobody refers to them, which may take half an hour; so it is asked to
+    look, twice, as what it finds first holds on to the rest."""
+    for _ in range(2):
+        spark._jvm.System.gc()
+        time.sleep(0.1)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that materialize() wrote and nothing needs any more."""
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
