@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trellis.deploy import ship
-from trellis.llm.shared import discard, materialize, spread, text_or_empty
+from trellis.llm.shared import discard, let_go, materialize, spread, text_or_empty
 
 FUZZY_FROM = 5
 #: Where a line is: its document's key (null last), the hash of its text, as rows may repeat a key, and its number in it.
@@ -89,20 +89,24 @@ def variants(lines: DataFrame) -> DataFrame:
 
 def kept_lines(documents: DataFrame, key: str = "doc_id", text: str = "text", fuzzy_from: int = FUZZY_FROM) -> DataFrame:
     """late, doc, row, line: the lines that stay, without the blank ones."""
+    spark = documents.sparkSession
     places = lines_of(documents, key, text).withColumn("place", F.struct(*PLACE))
     long = F.length("l") >= fuzzy_from
     first = places.select(_hash(F.col("l")).alias("h"), "place", F.when(long, _halves(F.col("l"))).alias("halves"))
     # a line's halves are those of any line equal to it
     first = first.groupBy("h").agg(F.min("place").alias("place"), F.first("halves").alias("halves"))
     first = materialize(first.select("place", "halves"), "lines")
+    let_go(spark)
     half = first.where("halves is not null").select("place", F.explode("halves").alias("k"))
     shared = half.groupBy("k").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).where("lo <> hi").select("k")
     may = materialize(half.hint("merge").join(shared, "k", "left_semi").select("place").distinct(), "lines-may")
+    let_go(spark)
     # rows that repeat key and text have one line at a place
     on = [places[c].eqNullSafe(may.place[c]) for c in PLACE]
     near = places.drop("place").join(may, on[0] & on[1] & on[2] & on[3]).select("place", "l").dropDuplicates(["place"])
     near = materialize(near, "lines-near")
     discard(may)
+    let_go(spark)
 
     points = near.agg(F.sum(2 * F.length("l") + 1)).first()[0] or 0
     every = variants(spread(near, points, "place"))
@@ -114,6 +118,7 @@ def kept_lines(documents: DataFrame, key: str = "doc_id", text: str = "text", fu
     pairs = pairs.join(near, "place").join(near.select(F.col("place").alias("by"), F.col("l").alias("by_l")), "by")
     gone = materialize(pairs.where(F.levenshtein("l", "by_l", 1) >= 0).select("place").distinct(), "lines-gone")
     discard(near)
+    let_go(spark)
     return first.join(gone, "place", "left_anti").select("place.*")
 
 
