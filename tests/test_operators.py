@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import random
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from trellis.functions import text as X
-from trellis.operators import diff, folds, matching, review, sets, trust
+from trellis.operators import diff, folds, matching, ranking, review, sets, trust
 from trellis.operators.nest import nest, suffixed, with_latest
 
 AS_OF = "2000-01-31 00:00:00"
@@ -157,3 +158,75 @@ def test_harvest(spark):
     existing = spark.createDataFrame([(10, "x", "https://a"), (11, "Sunny Day Camp", "https://b"), (12, "Moonlight", "")], "camp_id int, name string, url string")
     found = matching.match_or_create(listings, existing, lambda c: X.stripped_name(c, False))
     assert tuples(found) == [(1, "skipped", 10), (2, "flagged", 11), (3, "created", None), (4, "created", None)]
+
+
+def test_hosts_are_visited_in_order_and_few_at_once(spark):
+    rows = spark.createDataFrame([(i, f"h{i % 7}") for i in range(70)], "id int, host string")
+    placed = ranking.by_host(rows, "host", [F.asc("id")], 20).withColumn("p", F.spark_partition_id())
+    parts = [[(r.host, r.turn, r.id) for r in part] for part in placed.rdd.glom().collect()]
+    assert len(parts) == ranking.AT_MOST
+    assert all(part == sorted(part) for part in parts) and sum(map(len, parts)) == 70
+    assert placed.groupBy("host").agg(F.count_distinct("p").alias("n")).where("n > 1").count() == 0
+    assert ranking.by_host(rows, "host", [F.asc("id")]).rdd.getNumPartitions() == 3
+
+
+def test_only_approved_entries_are_backfilled(spark):
+    entry = "struct<approvedAt:timestamp,attestedBy:string,sourceUrl:string,excerpt:string,notes:string>"
+    at = datetime(2024, 1, 1)
+    sources = {"city": (at, None, "https://s", None, "n"), "pricing": (at, "ann", "https://s", "e", None), "category": (None, "ann", "https://s", "e", None), "unheardOf": (at, None, "https://s", "e", None)}
+    camps = spark.createDataFrame([(1, sources), (2, None)], f"camp_id int, field_sources map<string,{entry}>")
+    old = [(7, "CAMP", 1, "city", "STALE", None, None, None, at, None, None, "moved"), (8, "PROVIDER", 1, "city", "ACTIVE", None, None, None, at, at, "bob", None), (9, "CAMP", 1, "nowhere", "ACTIVE", None, None, None, at, at, "bob", None), (10, "CAMP", 1, "city", "INVALIDATED", "https://x", "q", None, at, at, "bob", None)]
+    attestations = spark.createDataFrame(old, "id int, entity_type string, entity_id int, field string, status string, source_url string, excerpt string, notes string, observed_at timestamp, approved_at timestamp, approved_by string, reason string")
+    none = spark.createDataFrame([], "id string")
+    claims, evidence, events = trust.backfill(camps, attestations, none)
+    assert sorted((r.claim_id, r.kind) for r in claims.collect()) == [("camp.1.city", "camp-scalar-field"), ("camp.1.pricing", "camp-repeated-field")]
+    assert sorted((r.evidence_id, r.evidence_type, r.source_ref, r.excerpt, r.collected_by) for r in evidence.collect()) == [
+        ("evidence.camp.1.city.attestation.10", "attestation", "https://x", "q", "bob"), ("evidence.camp.1.city.attestation.7", "attestation", "admin:backfill", "No excerpt was recorded.", "backfill"),
+        ("evidence.camp.1.city.field-source", "crawl_observation", "https://s", "n", "backfill"), ("evidence.camp.1.pricing.field-source", "attestation", "admin:ann", "e", "ann"),
+    ]
+    told = {r.event_id: (r.state, r.type, r.verified_at is None, r.notes) for r in events.collect()}
+    assert told["event.camp.1.city.attestation.10"] == ("revoked", "invalidation", True, None) and told["event.camp.1.city.attestation.7"] == ("stale", "invalidation", True, "moved")
+    assert told["event.camp.1.city.field-source"] == ("verified", "verification", False, None) and len(told) == 4
+    # a second run adds nothing
+    known = claims.select(F.col("claim_id").alias("id")).union(evidence.select("evidence_id")).union(events.select("event_id"))
+    assert [df.count() for df in trust.backfill(camps, attestations, known)] == [0, 0, 0]
+
+
+def test_near_names_are_those_of_all_pairs(spark):
+    r = random.Random(3)
+    name = lambda: " ".join(r.choice(["red", "reds", "blue", "big", "bag", "camp", "camps", "a", "ab", "x", "xy", ""]) for _ in range(r.randrange(1, 4)))
+    a, b = [(i, name()) for i in range(70)], [(i, name()) for i in range(70)]
+    left, right = spark.createDataFrame(a, "i int, n string"), spark.createDataFrame(b, "j int, m string")
+    grams = lambda t: {t[i : i + 2] for i in range(len(t) - 1)}
+    plain = lambda t: " ".join(t.split())
+    for least in (0.5, 0.8, 1.0):
+        want = {(i, j) for i, n in a for j, m in b if (x := grams(plain(n))) and (y := grams(plain(m))) and 2 * len(x & y) / (len(x) + len(y)) >= least}
+        assert {(p.i, p.j) for p in matching.near_names(left, "i", "n", right, "j", "m", least).collect()} == want, least
+
+
+def test_most_alike_is_that_of_all_pairs(spark):
+    r = random.Random(5)
+    name = lambda: " ".join(r.choice(["red", "redder", "blue", "big", "camp", "camping", "zoo", "q"]) for _ in range(r.randrange(1, 4)))
+    a, b = [(i, name()) for i in range(40)], [(i, name()) for i in range(60)]
+    threes = lambda t: {f"  {w} "[i : i + 3] for w in t.split() for i in range(len(w) + 1)}
+    found: dict = {}
+    for x in matching.most_alike(spark.createDataFrame(a, "i int, n string"), "i", "n", spark.createDataFrame(b, "j int, m string"), "j", "m").collect():
+        found.setdefault(x.i, []).append((x.rank, x.j))
+    for i, n in a:
+        x = threes(n)
+        scored = sorted((-len(x & threes(m)) / len(x | threes(m)), j) for j, m in b if x & threes(m))[:5]
+        assert sorted(found.get(i, [])) == [(k + 1, j) for k, (_, j) in enumerate(scored)], (i, n)
+
+
+def test_a_chain_of_candidates_is_decided_in_order(spark):
+    # each shares its domain with the one before and its name with the one after
+    rows = [(i, i, f"n{(i + 1) // 2}", f"d{i // 2}") for i in range(9)]
+    queue = spark.createDataFrame(rows, "id int, seq int, name string, domain string")
+    found = {x.id: (x.kind, x.matched) for x in matching.discover(queue, queue.limit(0).drop("seq")).collect()}
+    taken, want = [], {}
+    for i, _, n, d in rows:
+        by = next((j for j, m, e in taken if m == n or e == d), None)
+        want[i] = ("new", None) if by is None else ("exact-duplicate", by)
+        if by is None:
+            taken.append((i, n, d))
+    assert found == want

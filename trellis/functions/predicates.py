@@ -110,3 +110,19 @@ def first_or(items: ColumnOrName, scalar: ColumnOrName) -> Column:
 def is_on(flag: str | None) -> bool:
     """A switch from the environment: 0, false, off and no mean off, anything else and nothing mean on."""
     return (flag or "").strip().lower() not in ("0", "false", "off", "no")
+
+
+def quality_is(state: str | None, pending: Column, missing: Column, verified_at: ColumnOrName) -> Column | None:
+    """A table's facet of quality: PENDING (something waits for review), MISSING (fields lack), NEVER_VERIFIED; ALL filters nothing."""
+    return {"PENDING": pending > 0, "MISSING": missing > 0, "NEVER_VERIFIED": _col(verified_at).isNull()}.get(state or EVERYTHING)
+
+
+def pending_is(state: str | None, pending: Column) -> Column | None:
+    """PENDING or NO_PENDING; a null count is none. ALL filters nothing."""
+    n = F.coalesce(pending, F.lit(0))
+    return {"PENDING": n > 0, "NO_PENDING": n == 0}.get(state or EVERYTHING)
+
+
+def crawl_is(state: str | None, crawled_at: ColumnOrName, as_of: ColumnOrName, days: int = 30) -> Column | None:
+    """NEVER, or STALE: never, or so many whole days ago. ALL filters nothing."""
+    return {"NEVER": _col(crawled_at).isNull(), "STALE": F.coalesce(whole_days(crawled_at, as_of) >= days, F.lit(True))}.get(state or EVERYTHING)

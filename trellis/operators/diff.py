@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trellis.functions.values import days_elapsed, half_up, is_iso_date, value_key
+from trellis.functions.values import days_elapsed, half_up, is_iso_date, let, value_key
 
 #: Proposals under this confidence aren't made; fields approved within SUPPRESS_DAYS only change above SUPPRESS_CONFIDENCE.
 MIN_CONFIDENCE, SUPPRESS_DAYS, SUPPRESS_CONFIDENCE = 0.3, 30, 0.8
@@ -54,17 +54,22 @@ def relation_change(current: Column, candidate: Column) -> Column:
     additive: there was something, all of it stays, there is more, and some of it is new. An item
     without a key (null) counts as changed and never as additive."""
     broken = F.exists(current, lambda k: k.isNull()) | F.exists(candidate, lambda k: k.isNull())
-    # the nth of equal keys gets the number n, which makes multisets sets
-    numbered = lambda keys: F.transform(keys, lambda k, i: F.concat_ws("#", F.size(F.filter(F.slice(keys, F.lit(1), i + 1), lambda x: x == k)).cast("string"), k))
-    added, removed = F.array_except(numbered(candidate), numbered(current)), F.array_except(numbered(current), numbered(candidate))
+    # the nth of equal keys gets the number n, which makes multisets sets; sorted, equal keys lie together
+    numbered = lambda keys: let(F.array_sort(keys), lambda s: F.transform(s, lambda k, i: F.concat_ws("#", (i + 2 - F.array_position(s, k)).cast("string"), k)))
+    both = F.array(numbered(candidate), numbered(current))
+    lack = let(both, lambda b: F.struct(F.size(F.array_except(b[0], b[1])).alias("added"), F.size(F.array_except(b[1], b[0])).alias("removed")))
+    return let(lack, lambda x: _relation(current, candidate, broken, x["added"], x["removed"]))
+
+
+def _relation(current: Column, candidate: Column, broken: Column, n_added: Column, n_removed: Column) -> Column:
     novel = F.size(F.array_except(candidate, current)) > 0
-    additive = (F.size(current) > 0) & (F.size(removed) == 0) & (F.size(candidate) > F.size(current)) & novel
-    changed = broken | (F.size(added) > 0) | (F.size(removed) > 0)
+    additive = (F.size(current) > 0) & (n_removed == 0) & (F.size(candidate) > F.size(current)) & novel
+    changed = broken | (n_added > 0) | (n_removed > 0)
     none = F.lit(0)
     return F.struct(
         F.coalesce(changed, F.lit(True)).alias("changed"),
-        F.when(broken, none).otherwise(F.size(added)).alias("added"),
-        F.when(broken, none).otherwise(F.size(removed)).alias("removed"),
+        F.when(broken, none).otherwise(n_added).alias("added"),
+        F.when(broken, none).otherwise(n_removed).alias("removed"),
         F.coalesce(additive & ~broken, F.lit(False)).alias("additive"),
     )
 

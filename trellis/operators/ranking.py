@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -61,3 +62,16 @@ FIELD_RANKS = {
     "name": 0, "registrationStatus": 1, "description": 2, "websiteUrl": 3, "city": 4, "neighborhood": 5, "address": 6,
     "ageGroups": 7, "schedules": 8, "pricing": 9,
 }
+
+
+#: So many hosts are visited at once, and at most.
+AT_ONCE, AT_MOST = 3, 10
+
+
+def by_host(rows: DataFrame, host: str, order: list[Column], at_once: int = AT_ONCE) -> DataFrame:
+    """``rows`` with turn, their place within their host. A host's rows lie together and in order in one partition, and
+    there are ``at_once`` partitions, AT_MOST at most: so no more hosts are visited at once by what maps
+    over the partitions, and no host twice at a time. The number is one of politeness, not of size."""
+    turn = F.row_number().over(W.partitionBy(host).orderBy(*order))
+    dealt = rows.withColumn("turn", turn).repartition(max(1, min(at_once, AT_MOST)), host)
+    return dealt.sortWithinPartitions(host, "turn")

@@ -137,12 +137,96 @@ def trust_display(claims: DataFrame, events: DataFrame, evidence: DataFrame, pag
     return rows.select("claim_id", shown.alias("shown"), origin.alias("origin"), F.when(known, F.col("actor")).alias("actor"), F.when(known, F.col("at")).alias("at"))
 
 
-def backfill(camps: DataFrame, existing: DataFrame) -> DataFrame:
-    """camps: camp_id, field_sources (map field -> struct(approvedAt, actor)). The claims to add: claim_id, camp_id,
-    field, state, at, actor; ids follow from camp and field, so a second run adds nothing."""
-    each = camps.select("camp_id", F.explode("field_sources").alias("field", "s"))
-    claims = each.select(F.concat_ws(".", F.lit("camp"), F.col("camp_id").cast("string"), "field").alias("claim_id"), "camp_id", "field", F.lit("verified").alias("state"), F.col("s.approvedAt").alias("at"), F.col("s.actor").alias("actor"))
-    return claims.join(existing.select("claim_id"), "claim_id", "left_anti")
+#: What an attestation's status makes of its claim, as state and kind of event.
+ATTESTED = {"ACTIVE": ("verified", "verification"), "STALE": ("stale", "invalidation"), "INVALIDATED": ("revoked", "invalidation")}
+REPEATED = ("ageGroups", "pricing", "schedules")
+
+
+def backfill(camps: DataFrame, attestations: DataFrame, known: DataFrame, fields: tuple[str, ...] = CAMP_FIELDS, collector: str = "backfill") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The ledger rows that older records stand for: claims (claim_id, camp_id, field, kind), evidence (evidence_id, claim_id,
+    evidence_type, method, source_ref, excerpt, observed_at, collected_by) and events (event_id, claim_id,
+    evidence_id, state, type, actor, method, at, verified_at, notes).
+
+    camps: camp_id, field_sources (map field -> struct(approvedAt, attestedBy, sourceUrl, excerpt, notes));
+    attestations: id, entity_type, entity_id, field, status, source_url, excerpt, notes, observed_at,
+    approved_at, approved_by, reason; known: id, of what is there already. Only fields that a verified
+    subject needs count, and only entries that someone approved: an observation is no verification.
+    Ids follow from what they stand for, so a second run adds nothing."""
+    claim = lambda camp, field: F.concat_ws(".", F.lit("camp"), camp.cast("string"), field)
+    nothing = F.lit("No excerpt was recorded.")
+    s = camps.select("camp_id", F.explode("field_sources").alias("field", "s")).where(F.col("field").isin(*fields) & F.col("s.approvedAt").isNotNull())
+    by = F.col("s.attestedBy")
+    sources = s.select(
+        "camp_id", "field", claim(F.col("camp_id"), F.col("field")).alias("claim_id"), F.lit("field-source").alias("of"), by.isNotNull().alias("attested"), F.coalesce(by, F.lit(collector)).alias("actor"),
+        F.when(by.isNotNull(), F.concat(F.lit("admin:"), by)).otherwise(F.col("s.sourceUrl")).alias("source_ref"), F.coalesce("s.excerpt", "s.notes", nothing).alias("excerpt"), F.col("s.approvedAt").alias("observed_at"), F.lit("verified").alias("state"),
+        F.lit("verification").alias("type"), F.col("s.approvedAt").alias("at"), F.col("s.approvedAt").alias("verified_at"), F.lit(None).cast("string").alias("notes"),
+    )
+    a = attestations.where((F.col("entity_type") == "CAMP") & F.col("field").isin(*fields))
+    state, kind = (F.coalesce(*[F.when(F.col("status") == k, v[i]) for k, v in ATTESTED.items()]) for i in (0, 1))
+    actor, at = F.coalesce("approved_by", F.lit(collector)), F.coalesce("approved_at", "observed_at")
+    attested = a.select(
+        F.col("entity_id").alias("camp_id"), "field", claim(F.col("entity_id"), F.col("field")).alias("claim_id"), F.concat(F.lit("attestation."), F.col("id").cast("string")).alias("of"), F.lit(True).alias("attested"), actor.alias("actor"),
+        F.coalesce("source_url", F.concat(F.lit("admin:"), actor)).alias("source_ref"), F.coalesce("excerpt", "notes", nothing).alias("excerpt"), "observed_at", state.alias("state"),
+        kind.alias("type"), at.alias("at"), F.when(F.col("status") == "ACTIVE", at).alias("verified_at"), F.coalesce("reason", "notes").alias("notes"),
+    )
+    rows = sources.unionByName(attested).withColumns({"evidence_id": F.concat_ws(".", F.lit("evidence"), "claim_id", "of"), "event_id": F.concat_ws(".", F.lit("event"), "claim_id", "of"), "method": F.when(F.col("attested"), "attestation").otherwise("observation")})
+    new = lambda df, c: df.join(known.select(F.col("id").alias(c)), c, "left_anti")
+    claims = rows.select("claim_id", "camp_id", "field", F.when(F.col("field").isin(*REPEATED), "camp-repeated-field").otherwise("camp-scalar-field").alias("kind")).distinct()
+    evidence = rows.select("evidence_id", "claim_id", F.when(F.col("attested"), "attestation").otherwise("crawl_observation").alias("evidence_type"), "method", "source_ref", "excerpt", "observed_at", F.col("actor").alias("collected_by"))
+    events = rows.select("event_id", "claim_id", "evidence_id", "state", "type", "actor", "method", "at", "verified_at", "notes")
+    return new(claims, "claim_id"), new(evidence, "evidence_id"), new(events, "event_id")
+
+
+#: States that a registration may have.
+REGISTRATION = ("OPEN", "FULL", "WAITLIST", "CLOSED", "COMING_SOON", "UNKNOWN")
+_REVIEW = "struct<id:string,actor:string,at:timestamp,state:string>"
+
+
+def observations(camps: DataFrame, proposals: DataFrame, generated_at: str, product: str = "directory") -> DataFrame:
+    """What the ledger is told of two fields, the state of registration and the sessions: as they stand, and as proposed.
+
+    camps: camp_id, url, status, n_schedules, verified_at, crawled_at, field_sources (as in backfill());
+    proposals: id, camp_id, url, status, created, reviewed_at, reviewed_by, model, changes (map field ->
+    struct(new, n_items, sourceUrl, excerpt, confidence); n_items: of sessions, null if they aren't as
+    sessions must be). claim_id, camp_id, field, value (of sessions their number), state, source_ref,
+    observed_at, extracted_at, extractor, excerpt, confidence, review, claim_type, created, updated, actor,
+    collected_by, method, support (moderate or none: whether a review or a confidence stands behind it).
+
+    A field that someone approved is verified; an unknown status is unknown; the rest is proposed. Sessions
+    that there are none of, and nobody approved, aren't told, nor are proposals with a value that can't be."""
+    now = F.lit(generated_at).cast("timestamp")
+    parts = []
+    for field, repeated in (("registrationStatus", False), ("schedules", True)):
+        kind = "public-data.repeated-field" if repeated else "public-data.field"
+        s = F.try_element_at("field_sources", F.lit(field))
+        ok = s["approvedAt"].isNotNull()
+        claim = F.concat_ws(".", F.lit(product), F.col("camp_id").cast("string"), F.lit(field), F.lit("current"))
+        seen = F.coalesce(s["approvedAt"], "crawled_at", now)
+        unknown = F.lit(False) if repeated else F.col("status") == "UNKNOWN"
+        rows = camps.where((F.col("n_schedules") > 0) | ok) if repeated else camps
+        review = F.when(ok, F.struct(F.concat(claim, F.lit(".review.approved")).alias("id"), F.lit("admin").alias("actor"), s["approvedAt"].alias("at"), F.lit("verified").alias("state"))).otherwise(F.lit(None).cast(_REVIEW))
+        parts.append(rows.select(
+            claim.alias("claim_id"), "camp_id", F.lit(field).alias("field"), (F.col("n_schedules").cast("string") if repeated else F.col("status")).alias("value"), F.when(ok, "verified").when(unknown, "unknown").otherwise("proposed").alias("state"),
+            F.coalesce(s["sourceUrl"], "url").alias("source_ref"), seen.alias("observed_at"), F.coalesce(s["approvedAt"], now).alias("extracted_at"), F.when(s.isNotNull(), "field-review").otherwise(product).alias("extractor"), s["excerpt"].alias("excerpt"),
+            F.lit(None).cast("double").alias("confidence"), review.alias("review"), F.lit(kind).alias("claim_type"), seen.alias("created"), F.coalesce("verified_at", s["approvedAt"], now).alias("updated"), F.when(s.isNotNull(), "admin").otherwise("crawl").alias("actor"),
+            F.when(s.isNotNull(), "field-review").otherwise(product).alias("collected_by"), F.when(s.isNotNull(), "field-source-approval").otherwise("candidate-resolution").alias("method"),
+        ))
+        d = F.try_element_at("changes", F.lit(field))
+        fine = d["n_items"].isNotNull() if repeated else d["new"].isin(*REGISTRATION)
+        state = F.when(F.col("status") == "APPROVED", "verified").when(F.col("status") == "REJECTED", "rejected").otherwise("proposed")
+        claim = F.concat_ws(".", F.lit(product), F.col("camp_id").cast("string"), F.lit(field), F.col("id").cast("string"))
+        seen = F.col("reviewed_at").isNotNull() & F.col("reviewed_by").isNotNull()
+        review = F.when(seen, F.struct(F.concat(claim, F.lit(".review."), F.lower("status")).alias("id"), F.col("reviewed_by").alias("actor"), F.col("reviewed_at").alias("at"), state.alias("state"))).otherwise(F.lit(None).cast(_REVIEW))
+        parts.append(proposals.where(d.isNotNull() & fine).select(
+            claim.alias("claim_id"), "camp_id", F.lit(field).alias("field"), (d["n_items"].cast("string") if repeated else d["new"]).alias("value"), state.alias("state"),
+            F.coalesce(d["sourceUrl"], "url").alias("source_ref"), F.col("created").alias("observed_at"), F.col("created").alias("extracted_at"), F.col("model").alias("extractor"), d["excerpt"].alias("excerpt"),
+            d["confidence"].alias("confidence"), review.alias("review"), F.lit(f"{kind}-candidate").alias("claim_type"), "created", F.coalesce("reviewed_at", now).alias("updated"), F.coalesce("reviewed_by", F.lit("crawl")).alias("actor"),
+            F.col("model").alias("collected_by"), F.when(F.col("status") == "PENDING", "crawl-proposal").otherwise("field-review").alias("method"),
+        ))
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more)
+    return every.withColumn("support", F.when(F.col("review").isNotNull() | F.col("confidence").isNotNull(), "moderate").otherwise("none"))
 
 
 def export(subjects: DataFrame, claims: DataFrame, evidence: DataFrame, events: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trellis.functions import text as X
 from trellis.functions.values import iso_date
-from trellis.operators import diff, folds, matching, review, trust
+from trellis.operators import diff, folds, matching, ranking, review, trust
 from trellis.plans.registry import AS_OF, Tables, query
 
 OLD_NEW = """
@@ -79,70 +79,75 @@ BIGRAMS = "list_distinct(list_transform(range(1, length({0})), lambda i: substr(
 
 
 def _a(t: Tables) -> DataFrame:
-    return t.part.where("p_partkey % 10 = 0").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("a"))
+    return t.part.select("p_partkey", F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("a"))
 
 
 def _b(t: Tables) -> DataFrame:
-    return t.part.where("p_partkey % 10 = 1").select(F.col("p_partkey").alias("other"), F.concat_ws(" ", "p_type", "p_name", "p_brand").alias("b"))
+    return t.part.select(F.col("p_partkey").alias("other"), F.concat_ws(" ", "p_type", "p_name", "p_brand").alias("b"))
 
 
 NAMES_SQL = rf"""
-with a as (select p_partkey, trim(regexp_replace(lower(p_name || ' ' || p_brand || ' ' || p_type), '[^a-z0-9]+', ' ', 'g')) as n from part where p_partkey % 10 = 0),
-b as (select p_partkey as other, trim(regexp_replace(lower(p_type || ' ' || p_name || ' ' || p_brand), '[^a-z0-9]+', ' ', 'g')) as n from part where p_partkey % 10 = 1),
-g as (select p_partkey, other, {BIGRAMS.format("a.n")} as x, {BIGRAMS.format("b.n")} as y from a, b),
-s as (select p_partkey, other, 2.0::double * len(list_intersect(x, y)) / (len(x) + len(y)) as score from g)"""
+with l as (select p_partkey, trim(regexp_replace(lower(p_name || ' ' || p_brand || ' ' || p_type), '[^a-z0-9]+', ' ', 'g')) as n from part),
+r as (select p_partkey as other, trim(regexp_replace(lower(p_type || ' ' || p_name || ' ' || p_brand), '[^a-z0-9]+', ' ', 'g')) as n from part),
+a as (select n, {BIGRAMS.format("n")} as x from (select distinct n from l)), b as (select n, {BIGRAMS.format("n")} as y from (select distinct n from r)),
+s as (select a.n as ln, b.n as rn, 2.0::double * len(list_intersect(x, y)) / (len(x) + len(y)) as score from a, b)"""
 
 
-@query(NAMES_SQL + " select p_partkey, other, round(score, 9) as score from s where score >= 0.8")
+@query(NAMES_SQL + " select p_partkey, other, round(score, 9) as score from s join l on l.n = ln join r on r.n = rn where score >= 0.8")
 def j14_near_names(t: Tables) -> DataFrame:
-    """All pairs at 0.8 and more, found on shared rare bigrams."""
+    """All pairs of parts at 0.8 and more, their names written in two ways; found on shared rare bigrams."""
     return matching.near_names(_a(t), "p_partkey", "a", _b(t), "other", "b", 0.8).withColumn("score", F.round("score", 9))
 
 
-@query(NAMES_SQL + " select p_partkey from a where not exists (select 1 from s where s.p_partkey = a.p_partkey and score >= 0.75)")
+@query(NAMES_SQL + " select p_partkey from l where not exists (select 1 from s where s.ln = l.n and score >= 0.9)")
 def n32_new_names(t: Tables) -> DataFrame:
-    return matching.new_names(_a(t), "p_partkey", "a", _b(t), "b", 0.75, X.match_name).select("p_partkey")
+    return matching.new_names(_a(t), "p_partkey", "a", _b(t), "b", 0.9, X.match_name).select("p_partkey")
 
 
-def _candidates(t: Tables, least: int, most: int) -> DataFrame:
-    k = F.col("p_partkey")
-    rows = t.part.where((k >= least) & (k < most))
-    site = F.when(k % 4 == 0, F.concat(F.lit("s"), (k % 60).cast("string"), F.lit(".example.org")))
-    return rows.select(k.alias("id"), k.alias("seq"), F.concat_ws(" ", "p_name", "p_brand").alias("name"), site.alias("domain"))
+def _candidates(t: Tables, known: bool) -> DataFrame:
+    """Parts as candidates; those of a small size are the providers that are known."""
+    k, small = F.col("p_partkey"), F.col("p_size") <= 5
+    site = F.when(k % 4 == 0, F.concat(F.lit("s"), (k % 6000).cast("string"), F.lit(".example.org")))
+    return t.part.where(small if known else ~small).select(k.alias("id"), k.alias("seq"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("name"), site.alias("domain"))
 
 
-CANDIDATES_SQL = r"""
-with p as (select p_partkey as id, p_name || ' ' || p_brand as name, case when p_partkey % 4 = 0 then 's' || (p_partkey % 60) || '.example.org' end as domain from part where p_partkey < 200),
+CANDIDATES_SQL = rf"""
+with p as (select p_partkey as id, p_size, p_name || ' ' || p_brand || ' ' || p_type as name, case when p_partkey % 4 = 0 then 's' || (p_partkey % 6000) || '.example.org' end as domain from part),
 k as (select *, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) as key from p),
-v as (select * from k where id < 20), c as (select * from k where id >= 20)"""
+v as (select * from k where p_size <= 5), c as (select * from k where p_size > 5),
+e as (select id, min(m) as m from (select c.id, v.id as m from c join v on c.key = v.key union all select c.id, v.id from c join v on c.domain = v.domain) group by 1),
+cn as (select key, {BIGRAMS.format("key")} as g from (select distinct key from c)), vn as (select key, {BIGRAMS.format("key")} as g, min(id) as id from v group by 1, 2),
+n as (select cn.key, vn.id as m, 2.0::double * len(list_intersect(cn.g, vn.g)) / (len(cn.g) + len(vn.g)) as s from cn, vn),
+b as (select key, m, row_number() over (partition by key order by s desc, m) as r from n where s >= 0.8 and s < 1)"""
 
 
 @query(
     CANDIDATES_SQL
-    + rf""", e as (select c.id, min(v.id) as m from c join v on c.key = v.key or c.domain = v.domain group by 1),
-n as (select c.id, v.id as m, 2.0::double * len(list_intersect({BIGRAMS.format("c.key")}, {BIGRAMS.format("v.key")})) / (len({BIGRAMS.format("c.key")}) + len({BIGRAMS.format("v.key")})) as s from c, v),
-b as (select id, m, s, row_number() over (partition by id order by s desc, m) as r from n where s >= 0.8 and s < 1)
-select c.id, case when e.m is not null then 'exact-duplicate' when b.m is not null then 'near-duplicate' else 'new' end as kind, coalesce(e.m, b.m) as matched from c left join e on e.id = c.id left join b on b.id = c.id and b.r = 1"""
+    + """ select c.id, case when e.m is not null then 'exact-duplicate' when b.m is not null then 'near-duplicate' else 'new' end as kind, coalesce(e.m, b.m) as matched from c left join e on e.id = c.id left join b on b.key = c.key and b.r = 1"""
 )
 def n09_verdicts(t: Tables) -> DataFrame:
-    c = _candidates(t, 20, 200)
-    return matching.verdicts(c, _candidates(t, 0, 20), c.limit(0)).select("id", "kind", "matched")
+    c = _candidates(t, False)
+    return matching.verdicts(c, _candidates(t, True), c.limit(0)).select("id", "kind", "matched")
 
 
 @query()
 def n10_discovery_run(t: Tables) -> DataFrame:
     """Candidates that are accepted join the queue for later ones; tests hold it against a loop."""
-    return matching.discover(_candidates(t, 20, 200), _candidates(t, 0, 20))
+    return matching.discover(_candidates(t, False), _candidates(t, True))
 
 
 @query(r"""
-with w as (select p_partkey as id, list_filter(string_split(regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') as ws from part where p_partkey < 60),
-g as (select id, list_distinct(flatten(list_transform(ws, lambda w: list_transform(range(1, length('  ' || w || ' ') - 1), lambda i: substr('  ' || w || ' ', i, 3))))) as t from w),
-s as (select a.id, b.id as other, len(list_intersect(a.t, b.t))::double / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) as score from g a join g b on a.id < 20 and b.id >= 20 where len(list_intersect(a.t, b.t)) > 0)
-select id, other, (row_number() over (partition by id order by score desc, other))::int as rank, round(score, 9) as score from s qualify rank <= 5""")
+with w as (select p_partkey as id, p_size, p_name || ' ' || p_brand as name from part),
+n as (select distinct name, list_filter(string_split(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') as ws from w),
+g as (select name, list_distinct(flatten(list_transform(ws, lambda w: list_transform(range(1, length('  ' || w || ' ') - 1), lambda i: substr('  ' || w || ' ', i, 3))))) as t from n),
+s as (select a.name as x, b.name as y, len(list_intersect(a.t, b.t))::double / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) as score from g a, g b where len(list_intersect(a.t, b.t)) > 0),
+f as (select s.x, w.id as other, score from s join w on w.name = s.y where p_size <= 5),
+r as (select *, (row_number() over (partition by x order by score desc, other))::int as rank from f qualify rank <= 5)
+select w.id, other, rank, round(score, 9) as score from w join r on r.x = w.name where p_size > 5""")
 def t08_most_alike(t: Tables) -> DataFrame:
+    """Of each part the five small ones whose names share most trigrams."""
     name = F.concat_ws(" ", "p_name", "p_brand").alias("name")
-    a, b = t.part.where("p_partkey < 20").select(F.col("p_partkey").alias("id"), name), t.part.where("p_partkey >= 20 and p_partkey < 60").select(F.col("p_partkey").alias("other"), name)
+    a, b = t.part.where("p_size > 5").select(F.col("p_partkey").alias("id"), name), t.part.where("p_size <= 5").select(F.col("p_partkey").alias("other"), name)
     return matching.most_alike(a, "id", "name", b, "other", "name").withColumn("score", F.round("score", 9))
 
 
@@ -193,10 +198,15 @@ def n06_last_values(t: Tables) -> DataFrame:
     return folds.last_values(rows, ["source", "item"], "field", "role", "turn", ["a", "b"])
 
 
-@query()
+@query(rf"""
+with n as (select l_orderkey as source, l_partkey as item, trim(regexp_replace(regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9\s]', '', 'g'), '\s+', ' ', 'g')) as name from (select distinct l_orderkey, l_partkey from lineitem) join part on p_partkey = l_partkey),
+g as (select source, list({{'o': item, 'g': {BIGRAMS.format("name")}}} order by item) as x from n group by 1),
+k as (select source, list_reduce(x[2:], lambda done, y: case when len(list_filter(done, lambda d: 2.0::double * len(list_intersect(d.g, y.g)) / (len(d.g) + len(y.g)) >= 0.75)) > 0 then done else list_append(done, y) end, x[1:1]) as kept from g)
+select source, unnest(list_transform(kept, lambda r: r.o)) as item from k""")
 def n07_distinct_items(t: Tables) -> DataFrame:
-    """Names of a source that aren't like an earlier one; tests hold it against a loop."""
-    rows = t.part.select(F.col("p_brand").alias("source"), F.col("p_partkey").alias("item"), F.concat_ws(" ", "p_name", "p_type").alias("name"))
+    """An order is a page, its parts the items: names of a page that aren't like an earlier one."""
+    lines = t.lineitem.select(F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("item")).distinct()
+    rows = lines.join(t.part.select(F.col("p_partkey").alias("item"), F.concat_ws(" ", "p_name", "p_type").alias("name")), "item")
     return folds.distinct_items(rows).select("source", "item")
 
 
@@ -224,14 +234,14 @@ def n13_corroborated(t: Tables) -> DataFrame:
 
 @query(
     HISTORY_SQL
-    + """, c as ((select id from p order by priority desc, confidence desc, id limit 300) union (select id from p order by priority desc, confidence, id limit 300)),
+    + """, c as ((select id from p order by priority desc, confidence desc, id limit 1000) union (select id from p order by priority desc, confidence, id limit 1000)),
 s as (select p.*, case when h.id is not null and p.mode <> 'populate' and p.old is not null and exists (select 1 from h b where b.subject = p.subject and b.id <> p.id and b.run <> p.run and b.value = p.value) then 1 else 0 end as selectable from p join c using (id) left join h on h.id = p.id),
 l as (select *, case when selectable > 0 then 'batch' else 'review' end as lane from s)
-select id, lane, (row_number() over (partition by lane order by priority desc, case when lane = 'batch' then -confidence else confidence end, id))::int as place, selectable::bigint as selectable from l qualify place <= 300"""
+select id, lane, (row_number() over (partition by lane order by priority desc, case when lane = 'batch' then -confidence else confidence end, id))::int as place, selectable::bigint as selectable from l qualify place <= 1000"""
 )
 def n15_ranked_queue(t: Tables) -> DataFrame:
     """Both lanes, with what may be accepted in a batch (n14)."""
-    return review.ranked_queue(*_claims(t), cap=300).select("id", "lane", "place", "selectable")
+    return review.ranked_queue(*_claims(t)).select("id", "lane", "place", "selectable")
 
 
 @query("select o_orderkey, case when o_orderstatus = 'P' and o_orderkey <> (select o.o_orderkey from orders o where o.o_custkey = orders.o_custkey and o.o_orderstatus = 'P' order by o.o_orderdate desc, o.o_orderkey desc limit 1) then 'SKIPPED' when o_orderstatus = 'P' then 'PENDING' else o_orderstatus end as status from orders")
@@ -341,11 +351,12 @@ def n22_capped(t: Tables) -> DataFrame:
 
 
 @query("""
-select doc_id as claim_id, case when doc_id % 4 = 3 then 'unverified' when doc_id % 4 = 2 then 'attested_no_source' when doc_id % 4 = 1 then 'stale_unresolvable' else 'verified_current' end as shown,
-       case when doc_id % 4 = 3 then 'none' when doc_id % 4 = 2 or doc_id % 8 = 0 then 'human' else 'crawl' end as origin, case when doc_id % 4 <> 3 then 'ann' end as actor from documents where length(text) > 60""")
+with e as (select doc_id as k, text, case when doc_id % 4 = 1 then '~' || substr(text, 12, 29) else substr(text, 11, 30) end as x from documents),
+s as (select k, case when k % 4 = 3 then 'unverified' when k % 4 = 2 then 'attested_no_source' when coalesce(x, '') = '' then 'unverified' when length(text) >= 40 and substr(text, 11, 30) = x then 'verified_current' else 'stale_unresolvable' end as shown from e)
+select k as claim_id, shown, case when shown = 'unverified' then 'none' when k % 4 = 2 or k % 8 = 0 then 'human' else 'crawl' end as origin, case when shown <> 'unverified' then 'ann' end as actor from s""")
 def n26_trust_display(t: Tables) -> DataFrame:
     k = F.col("doc_id")
-    d = t.documents.where("length(text) > 60").select("doc_id", "text", "lang")
+    d = t.documents.select("doc_id", "text", "lang")
     claims = d.select(k.alias("claim_id"), F.when(k % 4 == 3, "disputed").when(k % 4 == 2, "assumed").otherwise("verified").alias("state"))
     events = claims.select("claim_id", F.lit(1).alias("event_id"), "state", F.lit("2024-01-01").cast("timestamp").alias("at"), F.lit("ann").alias("actor"), F.col("claim_id").alias("evidence_id"))
     excerpt = F.when(k % 4 == 1, F.concat(F.lit("~"), F.substring("text", 12, 29))).otherwise(F.substring("text", 11, 30))
@@ -354,12 +365,44 @@ def n26_trust_display(t: Tables) -> DataFrame:
     return trust.trust_display(claims, events, evidence, pages).select("claim_id", "shown", "origin", "actor")
 
 
-@query("select 'camp.' || p_partkey || '.' || f as claim_id, p_partkey as camp_id, f as field from (select p_partkey, unnest(['brand', 'name']) as f from part) where not (p_partkey % 2 = 0 and f = 'name')")
+BACKFILL_SQL = """
+with s as (select p_partkey as camp_id, unnest(['city', 'pricing', 'name']) as field, case when p_partkey % 3 = 0 then null else timestamp '2024-01-01' end as approved, case when p_partkey % 2 = 0 then 'ann' end as attested, p_brand as url, case when p_partkey % 5 = 0 then p_name end as excerpt from part),
+a as (select s_suppkey as id, case when s_suppkey % 4 = 0 then 'PROVIDER' else 'CAMP' end as entity, s_suppkey as camp_id, case when s_suppkey % 5 = 0 then 'name' else 'city' end as field, ['ACTIVE', 'STALE', 'INVALIDATED'][s_suppkey % 3 + 1] as status from supplier),
+r as (select camp_id, field, 'camp.' || camp_id || '.' || field as claim_id, 'field-source' as o, attested is not null as att, coalesce(attested, 'backfill') as actor, case when attested is not null then 'admin:ann' else url end as source_ref,
+        coalesce(excerpt, 'No excerpt was recorded.') as excerpt, 'verified' as state, 'verification' as type, approved as seen, approved as verified_at, null as notes from s where field in ('city', 'pricing') and approved is not null
+  union all select camp_id, field, 'camp.' || camp_id || '.' || field, 'attestation.' || id, true, 'bob', 'admin:bob', 'seen', case status when 'ACTIVE' then 'verified' when 'STALE' then 'stale' else 'revoked' end,
+        case status when 'ACTIVE' then 'verification' else 'invalidation' end, timestamp '2024-01-02', case status when 'ACTIVE' then timestamp '2024-01-02' end, 'seen' from a where entity = 'CAMP' and field = 'city'),
+k as (select 'camp.' || p_partkey || '.city' as id from part where p_partkey % 2 = 0)"""
+
+
+def _backfill(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    k = F.col("p_partkey")
+    none = F.lit(None).cast("string")
+    entry = F.struct(F.when(k % 3 != 0, F.lit("2024-01-01").cast("timestamp")).alias("approvedAt"), F.when(k % 2 == 0, "ann").alias("attestedBy"), F.col("p_brand").alias("sourceUrl"), F.when(k % 5 == 0, F.col("p_name")).alias("excerpt"), none.alias("notes"))
+    camps = t.part.select(k.alias("camp_id"), F.create_map(F.lit("city"), entry, F.lit("pricing"), entry, F.lit("name"), entry).alias("field_sources"))
+    n = F.col("s_suppkey")
+    attestations = t.supplier.select(
+        n.alias("id"), F.when(n % 4 == 0, "PROVIDER").otherwise("CAMP").alias("entity_type"), n.alias("entity_id"), F.when(n % 5 == 0, "name").otherwise("city").alias("field"), _by_number(n, ["ACTIVE", "STALE", "INVALIDATED"]).alias("status"),
+        none.alias("source_url"), none.alias("excerpt"), F.lit("seen").alias("notes"), F.lit("2024-01-02").cast("timestamp").alias("observed_at"), F.lit(None).cast("timestamp").alias("approved_at"), F.lit("bob").alias("approved_by"), none.alias("reason"),
+    )
+    known = t.part.where(k % 2 == 0).select(F.concat(F.lit("camp."), k.cast("string"), F.lit(".city")).alias("id"))
+    return trust.backfill(camps, attestations, known)
+
+
+@query(BACKFILL_SQL + " select distinct claim_id, camp_id, field, case when field = 'pricing' then 'camp-repeated-field' else 'camp-scalar-field' end as kind from r where claim_id not in (select id from k)")
 def n36_backfill(t: Tables) -> DataFrame:
-    entry = F.struct(F.lit("2024-01-01").cast("timestamp").alias("approvedAt"), F.lit("ann").alias("actor"))
-    camps = t.part.select(F.col("p_partkey").alias("camp_id"), F.create_map(F.lit("name"), entry, F.lit("brand"), entry).alias("field_sources"))
-    known = t.part.where("p_partkey % 2 = 0").select(F.concat(F.lit("camp."), F.col("p_partkey").cast("string"), F.lit(".name")).alias("claim_id"))
-    return trust.backfill(camps, known).select("claim_id", "camp_id", "field")
+    """Claims of approved entries and attestations; what nobody approved, and other fields, make none."""
+    return _backfill(t)[0]
+
+
+@query(BACKFILL_SQL + " select 'evidence.' || claim_id || '.' || o as evidence_id, claim_id, case when att then 'attestation' else 'crawl_observation' end as evidence_type, case when att then 'attestation' else 'observation' end as method, source_ref, excerpt, actor as collected_by from r")
+def n36_evidence(t: Tables) -> DataFrame:
+    return _backfill(t)[1].drop("observed_at")
+
+
+@query(BACKFILL_SQL + " select 'event.' || claim_id || '.' || o as event_id, claim_id, state, type, actor, strftime(seen, '%Y-%m-%d') as day, verified_at is not null as verified, notes from r")
+def n36_events(t: Tables) -> DataFrame:
+    return _backfill(t)[2].select("event_id", "claim_id", "state", "type", "actor", iso_date("at").alias("day"), F.col("verified_at").isNotNull().alias("verified"), "notes")
 
 
 @query("select l_orderkey || ':' || l_linenumber as claim_id, 'revoked' as state, strftime(timestamp '2024-01-31', '%Y-%m-%d') as day from (select distinct l_orderkey, l_linenumber from lineitem) where l_orderkey in (select o_orderkey from orders where o_orderstatus = 'P')")
@@ -369,18 +412,41 @@ def n27_revocations(t: Tables) -> DataFrame:
     return trust.revocations(gone, claims, "crawl", AS_OF).select("claim_id", "state", iso_date("at").alias("day"))
 
 
-@query("select regexp_extract(url, '://([^/?#]+)', 1) as host, count(*) as pages from pages group by 1")
+@query("select page_id, regexp_extract(url, '://([^/?#]+)', 1) as host, (row_number() over (partition by host order by page_id))::int as turn from pages")
 def n28_by_host(t: Tables) -> DataFrame:
-    """Pages of a host lie together and in order; how many hosts run at once is Spark's to say."""
-    rows = t.pages.select("page_id", F.regexp_extract("url", "://([^/?#]+)", 1).alias("host")).repartition("host").sortWithinPartitions("host", "page_id")
-    return rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    """Pages of a host one after the other; tests look at which partitions they lie in."""
+    rows = t.pages.select("page_id", F.regexp_extract("url", "://([^/?#]+)", 1).alias("host"))
+    return ranking.by_host(rows, "host", [F.asc("page_id")])
+
+
+@query("""
+with c as (select o_orderkey as camp_id, case when o_orderkey % 4 = 0 then 'UNKNOWN' else 'OPEN' end as status, (o_orderkey % 3)::int as n, o_orderkey % 5 = 0 as ok, o_orderkey % 5 < 2 as src from orders),
+p as (select l_orderkey as camp_id, l_linenumber as id, case l_returnflag when 'R' then 'REJECTED' when 'A' then 'APPROVED' else 'PENDING' end as status, case when l_quantity < 10 then 'NONSENSE' else 'FULL' end as new, case when l_quantity > 30 then l_linenumber end as n, l_discount as c
+      from (select l_orderkey, l_linenumber, min(l_returnflag) as l_returnflag, min(l_quantity) as l_quantity, min(l_discount) as l_discount from lineitem group by 1, 2))
+select 'directory.' || camp_id || '.registrationStatus.current' as claim_id, 'registrationStatus' as field, status as value, case when ok then 'verified' when status = 'UNKNOWN' then 'unknown' else 'proposed' end as state, case when src then 'field-source-approval' else 'candidate-resolution' end as method, case when ok then 'moderate' else 'none' end as support from c
+union all select 'directory.' || camp_id || '.schedules.current', 'schedules', n::varchar, case when ok then 'verified' else 'proposed' end, case when src then 'field-source-approval' else 'candidate-resolution' end, case when ok then 'moderate' else 'none' end from c where n > 0 or ok
+union all select 'directory.' || camp_id || '.registrationStatus.' || id, 'registrationStatus', new, case status when 'APPROVED' then 'verified' when 'REJECTED' then 'rejected' else 'proposed' end, case status when 'PENDING' then 'crawl-proposal' else 'field-review' end, 'moderate' from p where new <> 'NONSENSE'
+union all select 'directory.' || camp_id || '.schedules.' || id, 'schedules', n::varchar, case status when 'APPROVED' then 'verified' when 'REJECTED' then 'rejected' else 'proposed' end, case status when 'PENDING' then 'crawl-proposal' else 'field-review' end, 'moderate' from p where n is not null""")
+def n30_observations(t: Tables) -> DataFrame:
+    """Two fields of each subject, as they stand and as proposed."""
+    k = F.col("o_orderkey")
+    source = F.struct(F.when(k % 5 == 0, F.lit("2024-01-01").cast("timestamp")).alias("approvedAt"), F.lit("https://s").alias("sourceUrl"), F.lit("x").alias("excerpt"))
+    sources = F.when(k % 5 < 2, F.create_map(F.lit("registrationStatus"), source, F.lit("schedules"), source))
+    camps = t.orders.select(k.alias("camp_id"), F.lit("https://c").alias("url"), F.when(k % 4 == 0, "UNKNOWN").otherwise("OPEN").alias("status"), (k % 3).cast("int").alias("n_schedules"), F.lit(None).cast("timestamp").alias("verified_at"), F.col("o_orderdate").cast("timestamp").alias("crawled_at"), sources.alias("field_sources"))
+    lines = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_returnflag", "l_quantity", "l_discount")])
+    change = F.struct(F.when(F.col("l_quantity") < 10, "NONSENSE").otherwise("FULL").alias("new"), F.when(F.col("l_quantity") > 30, F.col("l_linenumber")).alias("n_items"), F.lit(None).cast("string").alias("sourceUrl"), F.lit("x").alias("excerpt"), F.col("l_discount").alias("confidence"))
+    proposals = lines.select(
+        F.col("l_linenumber").alias("id"), F.col("l_orderkey").alias("camp_id"), F.lit("https://p").alias("url"), F.when(F.col("l_returnflag") == "R", "REJECTED").when(F.col("l_returnflag") == "A", "APPROVED").otherwise("PENDING").alias("status"), F.lit(AS_OF).cast("timestamp").alias("created"),
+        F.lit(None).cast("timestamp").alias("reviewed_at"), F.lit(None).cast("string").alias("reviewed_by"), F.lit("m").alias("model"), F.create_map(F.lit("registrationStatus"), change, F.lit("schedules"), change).alias("changes"),
+    )
+    return trust.observations(camps, proposals, AS_OF).select("claim_id", "field", "value", "state", "method", "support")
 
 
 @query("""
 select o_orderkey as subject_id, '{"subject_id":' || o_orderkey || ',"claims":[' || coalesce((select string_agg('{"claim_id":' || l || ',"field":"line","state":"verified","evidence":[{"evidence_id":' || l || ',"method":"crawl","source_ref":"' || o_orderkey || '"}],"events":[]}', ',' order by l)
-  from (select distinct l_orderkey, l_orderkey * 10 + l_linenumber as l from lineitem) where l_orderkey = o_orderkey), '') || ']}' as bundle from orders where o_orderkey % 4 = 0""")
+  from (select distinct l_orderkey, l_orderkey * 10 + l_linenumber as l from lineitem) where l_orderkey = o_orderkey), '') || ']}' as bundle from orders""")
 def n30_trust_export(t: Tables) -> DataFrame:
     claims = t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("claim_id"), F.col("l_orderkey").alias("subject_id"), F.lit("line").alias("field"), F.lit("verified").alias("state")).distinct()
     evidence = claims.select(F.col("claim_id").alias("evidence_id"), "claim_id", F.lit("crawl").alias("method"), F.col("subject_id").cast("string").alias("source_ref"))
     events = claims.limit(0).select(F.col("claim_id").alias("event_id"), "claim_id", "state", F.lit("").alias("at"), F.lit("").alias("actor"))
-    return trust.export(t.orders.where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("subject_id")), claims, evidence, events)
+    return trust.export(t.orders.select(F.col("o_orderkey").alias("subject_id")), claims, evidence, events)
