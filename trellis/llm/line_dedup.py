@@ -103,7 +103,7 @@ def kept_lines(documents: DataFrame, key: str = "doc_id", text: str = "text", fu
     let_go(spark)
     # rows that repeat key and text have one line at a place
     on = [places[c].eqNullSafe(may.place[c]) for c in PLACE]
-    near = places.drop("place").join(may, on[0] & on[1] & on[2] & on[3]).select("place", "l").dropDuplicates(["place"])
+    near = places.drop("place").join(may.hint("merge"), on[0] & on[1] & on[2] & on[3]).select("place", "l").dropDuplicates(["place"])
     near = materialize(near, "lines-near")
     discard(may)
     let_go(spark)
