@@ -71,14 +71,81 @@ def test_links_at_three_bits_and_not_at_four(spark):
     assert {p: got.get(p, p) for p in signed} == want
 
 
-def test_one_of_each(spark):
-    texts = ["a b c d", "a b c d", None, "", "other words entirely here now", "A B c d"]
+def test_those_set_aside_first_have_no_link(spark, monkeypatch):
+    """The links with the block keys in front are those without."""
+    r = random.Random(1)
+    prints = {p ^ sum(1 << b for b in r.sample(range(64), n)) for p in (r.getrandbits(64) for _ in range(60)) for n in range(5)}
+    points = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long")
+    filtered = {tuple(x) for x in simhash.ball_links(points).collect()}
+    monkeypatch.setattr(simhash, "_may_link", lambda points: points)
+    assert {tuple(x) for x in simhash.ball_links(points).collect()} == filtered
+
+
+def shingle_set(text):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    parts = [w for w in "".join(" " if c in " \t\n\v\f\r" else c for c in low).split(" ") if w]
+    return {" ".join(parts[i : i + 5]) for i in range(max(1, len(parts) - 4))} if parts else set()
+
+
+def alike_groups(texts: dict) -> tuple[dict, list]:
+    """Groups over all pairs alike at 0.8 or more, and those pairs."""
+    sets, ids = {i: shingle_set(t) for i, t in texts.items()}, sorted(texts)
+    root, links = {i: i for i in ids}, []
+    of: dict = {}
+    for i in ids:
+        for s in sets[i] or {None}:
+            of.setdefault(s, []).append(i)
+    counts: dict = {}
+    for members in of.values():
+        for n, i in enumerate(members):
+            for j in members[n + 1 :]:
+                counts[i, j] = counts.get((i, j), 0) + 1
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for (i, j), n in counts.items():
+        if n >= 0.8 * (len(sets[i] or {0}) + len(sets[j] or {0}) - n):
+            links.append((i, j))
+            a, b = sorted((top(i), top(j)))
+            root[b] = a
+    return {i: top(i) for i in ids}, links
+
+
+def test_shingles_and_similarity(spark):
+    assert len(simhash.shingles("a b c d e f")) == 2 == len(shingle_set("A b C d e f"))
+    assert len(simhash.shingles("a b")) == 1 and len(simhash.shingles(" ")) == 0
+
+
+def test_texts_alike_at_eight_of_ten_are_found(spark):
+    """Pairs alike at 0.8, 0.85, 0.9 and 0.95: those below the bound never, those above mostly."""
+    texts, pairs = [], {}
+    for i in range(240):
+        base = words(150 + i % 90, 7000 + i)
+        want = (0.8, 0.85, 0.9, 0.95)[i % 4]
+        near, at = base[:], 0
+        while at < len(base):  # change words, five shingles each, until the next would go below
+            changed = [*near[:at], f"x{i}", *near[at + 1 :]]
+            a, b = shingle_set(" ".join(base)), shingle_set(" ".join(changed))
+            if len(a & b) < want * len(a | b):
+                break
+            near, at = changed, at + 7
+        pairs[len(texts), len(texts) + 1] = want
+        texts += [" ".join(base), " ".join(near)]
+    kept = {r.doc_id for r in simhash.one_of_alike(documents(spark, texts)).collect()}
+    found = {w: sum(a in kept and b not in kept for (a, b), x in pairs.items() if x == w) / 60 for w in (0.8, 0.85, 0.9, 0.95)}
+    print(found)
+    assert all(a in kept for a, _ in pairs)
+    assert found[0.95] == 1 and found[0.9] >= 0.95 and found[0.85] >= 0.9 and found[0.8] >= 0.75
+
+
+def test_one_of_alike(spark):
+    texts = ["a b c d", "a b c d", None, "", "other words entirely here now", "A B c d", " ".join(words(300, 1)), " ".join([*words(300, 1)[:299], "end"]), " ".join(words(300, 2))]
     df = documents(spark, texts)
-    assert sorted(r.doc_id for r in simhash.one_of_each(df).collect()) == [0, 2, 4]
-    assert simhash.one_of_each(df).columns == df.columns
-    assert simhash.one_of_each(df.unionAll(df)).count() == 3
-    assert simhash.one_of_each(df.limit(0)).count() == 0
-    clash = df.withColumnRenamed("lang", "fp").withColumnRenamed("source", "component_id")
-    assert simhash.one_of_each(clash).columns == clash.columns and simhash.one_of_each(clash).count() == 3
+    assert sorted(r.doc_id for r in simhash.one_of_alike(df).collect()) == [0, 2, 4, 6, 8]
+    assert simhash.one_of_alike(df.unionAll(df)).count() == 5
+    assert simhash.one_of_alike(df.limit(0)).count() == 0
     nulls = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (None, "other"), (4, "a b c")], "doc_id long, text string")
-    assert sorted((r.doc_id is None, r.text) for r in simhash.one_of_each(nulls).collect()) == [(False, "a b c"), (True, "other")]
+    assert sorted((r.doc_id is None, r.text) for r in simhash.one_of_alike(nulls).collect()) == [(False, "a b c"), (True, "other")]

@@ -24,10 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trellis.deploy import ship
 from trellis.llm.components import components
-from trellis.llm.shared import materialize
+from trellis.llm.shared import let_go, materialize, spread
 
 BITS, RADIUS, BLOCKS = 64, 3, 6
 
@@ -83,15 +84,15 @@ def _may_link(points: DataFrame) -> DataFrame:
 
 def ball_links(points: DataFrame) -> DataFrame:
     """points: fp, distinct. Links (a, b), each at RADIUS or fewer differing bits; their connected groups
-    are those of all such links."""
+    are those of all such links. At most 1,057 fingerprints can meet in a point."""
     inner = [0, *(1 << b for b in range(BITS))]
     outer = [1 << p | 1 << q for half in (range(32), range(32, 64)) for p, q in combinations(half, 2)]
     flips = F.array(*[F.lit(_signed(m)) for m in inner + outer])
     near = materialize(_may_link(points), "simhash-near")
-    moved = near.select("fp", F.posexplode(flips)).select("fp", F.col("fp").bitwiseXOR(F.col("col")).alias("z"), (F.col("pos") < len(inner)).alias("inside"))
-    met = moved.groupBy("z").agg(F.min(F.when(F.col("inside"), F.col("fp"))).alias("hub"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
-    met = met.where("hub is not null and lo <> hi").select("z", "hub")
-    pairs = moved.hint("merge").join(met, "z").where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
+    moved = spread(near, near.count() * len(inner + outer), "fp").select("fp", F.posexplode(flips))
+    moved = moved.select("fp", F.col("fp").bitwiseXOR(F.col("col")).alias("z"), (F.col("pos") < len(inner)).alias("inside"))
+    met = moved.select("fp", F.min(F.when(F.col("inside"), F.col("fp"))).over(W.partitionBy("z")).alias("hub"))
+    pairs = met.where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
 
 
@@ -115,14 +116,126 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", word
     return rows.join(_named(rows, key), "fp").select(key, "fp", "component_id")
 
 
-def one_of_each(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 3) -> DataFrame:
-    """The rows of ``df``, with its columns, that stand for their group: of each component the one with the
-    smallest key. Rows that repeat that key give one row, the first by a hash of the text. Rows with
-    a null key stay where no other row of their component has a key."""
+# Texts alike in 8 shingles of 10. Their fingerprints of 64 bits differ in about 10, far beyond a ball. So a text
+# gets PRINTS shorter ones of SHORT bits, each with an anchor, the least of its shingles by a hash of the print's
+# own: texts alike at 0.8 have an anchor in common 8 times of 10, and differ there in 2 bits or fewer 4 times of 10.
+# Only texts with one anchor meet, however many there are in all.
+WORDS, ALIKE = 5, 0.8
+PRINTS, SHORT = 6, 20
+ODD = np.uint64(0x9E3779B97F4A7C15)
+STEPS = np.random.default_rng(42).integers(1 << 63, size=PRINTS, dtype=np.uint64)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Hashes of the distinct shingles of a text, ascending; A-Z lower-cased; fewer words are one shingle, none are none."""
+    parts = (text or "").encode().lower().split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(parts)
+    ends = np.cumsum([len(p) + 1 for p in parts])
+    starts = np.concatenate([[0], ends])[: max(1, len(parts) - words + 1)].tolist()
+    stops = (ends[min(words, len(parts)) - 1 :] - 1).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)], np.uint64))
+
+
+def prints_of(h: np.ndarray) -> tuple[list[int], list[int]]:
+    """Anchors and short fingerprints of a set of shingles, which isn't empty."""
+    anchors = [int(_mixed(h + step).min()) for step in STEPS]
+    on = np.zeros(3 * BITS, np.int64)
+    for at in range(0, len(h), 65536):
+        part = h[at : at + 65536]
+        bits = np.stack([_mixed(part * ODD + np.uint64(i)) for i in range(3)], 1).view(np.uint8)
+        on += np.unpackbits(bits, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    high = on * 2 > len(h)
+    return anchors, [int(sum(1 << b for b in np.flatnonzero(high[i * SHORT : (i + 1) * SHORT]).tolist())) for i in range(PRINTS)]
+
+
+def _sketched(plain: DataFrame, text: str) -> DataFrame:
+    """``plain`` with id (a hash of the text's set of shingles, 0 if it has none), anchors and prints."""
+    ship(plain.sparkSession)
+    n = len(plain.columns)
+    schema = plain.select("*").schema.add("id", "long").add("anchors", T.ArrayType(T.LongType())).add("prints", T.ArrayType(T.IntegerType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, anchors, prints = [], [], []
+            for value in batch.column(n):
+                h = shingles(value.as_py())
+                a, p = prints_of(h) if len(h) else ([], [])
+                ids.append(_signed(xxhash.xxh3_64_intdigest(h.tobytes())) if len(h) else 0)
+                anchors.append([_signed(x) for x in a])
+                prints.append(p)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(ids, pa.int64()), pa.array(anchors, pa.list_(pa.int64())), pa.array(prints, pa.list_(pa.int32()))], names=schema.names)
+
+    return plain.select(*plain.columns, plain[text].alias("text_")).mapInArrow(run, schema)
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """texts: id, text. id and its shingles."""
+    ship(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t.as_py()).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "set"])
+
+    return texts.mapInArrow(run, "id long, set array<long>")
+
+
+def alike_links(heads: DataFrame, texts: DataFrame, alike: float = ALIKE) -> DataFrame:
+    """heads: id, anchors, prints, distinct; texts: id, text, for each id one. Links (a, b), each with a Jaccard
+    similarity of the shingles of ``alike`` or more. A text is held against the first and the last of those
+    it meets in a point, not against all."""
+    flips = [0, *(1 << b for b in range(SHORT))]
+    each = F.transform("prints", lambda p, i: F.struct(i.alias("i"), F.col("anchors")[i].alias("a"), p.alias("p")))
+    rows = spread(heads, heads.count() * PRINTS * len(flips), "id").select("id", F.explode(each).alias("e"))
+    ball = F.array(*[F.xxhash64("e.i", "e.a", F.col("e.p").bitwiseXOR(F.lit(m))) for m in flips])
+    moved = rows.select("id", F.explode(ball).alias("z"))
+    met = moved.groupBy("z").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
+    pairs = moved.hint("merge").join(met, "z").select("id", F.explode(F.array("lo", "hi")).alias("hub")).where("id <> hub")
+    pairs = materialize(pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "alike-pairs")
+    let_go(heads.sparkSession)
+    nodes = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = materialize(_sets(texts.join(nodes, "id", "left_semi")), "alike-sets")
+    let_go(heads.sparkSession)
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("set").alias(f"{c}_set"))
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(both >= alike * (F.size("a_set") + F.size("b_set") - both)).select("a", "b")
+
+
+def one_of_alike(df: DataFrame, text: str = "text", key: str = "doc_id", alike: float = ALIKE) -> DataFrame:
+    """The rows of ``df``, with its columns, that stand for their group: of the texts that links of ``alike``
+    similarity of their five-word shingles join, the row with the smallest key.
+
+    Texts with one set of shingles are one text, told by 64 bits of hash; null and blank texts are one
+    too. A text of fewer than five words is one shingle. A null key comes after all others. Rows that
+    repeat the key and the text give one row, the first by a hash of their other columns. An empty table
+    gives an empty table."""
     names = df.columns
     plain = df.toDF(*[f"c{i}" for i in range(len(names))])  # so no column is called as one made here
     k, t = (f"c{names.index(c)}" for c in (key, text))
-    rows = materialize(fingerprints(plain, t, tuple(plain.columns), words), "simhash-fp")
-    met = rows.join(_named(rows.select(k, "fp"), k), "fp").where(F.col(k).eqNullSafe(F.col("component_id")))
-    first = W.partitionBy(k, F.when(F.col(k).isNull(), F.col("fp"))).orderBy(F.xxhash64(t), "fp")
-    return met.withColumn("row", F.row_number().over(first)).where("row = 1").select(*plain.columns).toDF(*names)
+    rows = materialize(_sketched(plain, t), "alike-rows")
+    order = F.struct(F.col(k).isNull().alias("late"), F.col(k).alias("k"))
+    heads = rows.groupBy("id").agg(F.min(order).alias("head"), F.first("anchors").alias("anchors"), F.first("prints").alias("prints"))
+    heads = materialize(heads, "alike-heads")
+    on = lambda right: (F.col("id") == right["id_"]) & F.col(k).eqNullSafe(right["k_"])
+    named = heads.select(F.col("id").alias("id_"), F.col("head.k").alias("k_"))
+    texts = rows.select("id", k, F.col(t).alias("text")).join(named, on(named), "left_semi").select("id", "text")
+    links = materialize(alike_links(heads.where(F.size("prints") > 0), texts, alike), "alike-links")
+    let_go(df.sparkSession)
+    roots = materialize(components(links, "a", "b"), "alike-roots")
+    of = heads.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    best = of.groupBy("root").agg(F.min(F.struct("head", "id")).alias("m")).select(F.col("m.id").alias("id_"), F.col("m.head.k").alias("k_"))
+    kept = rows.join(best, on(best), "left_semi")
+    if not kept.groupBy("id", k).count().where("count > 1").isEmpty():  # rows that repeat key and text
+        others = [c for c, kind in plain.dtypes if c not in (k, t) and "map<" not in kind and "variant" not in kind]
+        least = kept.groupBy("id", k).agg(F.min_by(F.struct(*plain.columns), F.xxhash64(F.lit(0), *others)).alias("row"))
+        kept = least.select("row.*")
+    return kept.select(*plain.columns).toDF(*names)
