@@ -25,36 +25,31 @@ def judge(url):
 
 
 def test_rules(spark):
-    df = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
-    listed = spark.createDataFrame([("x.net",), ("x.com",), ("nowhere",), (None,)], "key string")
-    found = {r.page_id: r for r in url_filter.judge_urls(df, URL_RULES, listed).collect()}
-    for i, url in enumerate(URLS):
+    rows = [*enumerate(URLS), (3, URLS[3]), (None, URLS[8])]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    listed = spark.createDataFrame([("x.net/de/",), ("x.com/de/",), ("h",), ("nowhere",), (None,)], "key string")
+    found = sorted(url_filter.judge_urls(df, URL_RULES, listed).collect(), key=str)
+    want = []
+    for i, url in rows:
         host, path, rule, verdict = judge(url)
-        r = found[i]
-        assert (r.host, r.path, r.rule) == (host, path, rule)
-        assert r.verdict == (verdict or ("block" if host in ("x.net", "x.com") else "allow"))
+        there = host + path in ("x.net/de/", "x.com/de/", "h")
+        want.append((i, url, host, path, rule, verdict or ("block" if there else "allow"), there))
+    assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
 
 
 def test_cascade_is_exact(spark):
     universe = spark.range(6000).select(F.concat(F.lit("h"), F.col("id").cast("string")).alias("key"))
     listed = universe.where(F.crc32("key") % 5 == 0)
-    cascade = url_filter.build_cascade(universe.unionAll(universe), listed, bits_per_key=4)
-    assert len(cascade.levels) > 2
-    wrong = universe.withColumn("got", cascade.listed(F.col("key"))).where(F.col("got") != (F.crc32("key") % 5 == 0))
-    assert wrong.count() == 0
-    large = url_filter.build_cascade(universe, listed, max_bits=64)
-    assert large.too_large.count() == listed.count()
+    for shard_keys in (100, 5000):  # many shards, and one
+        cascade = url_filter.build_cascade(universe.unionAll(universe), listed, bits_per_key=4, shard_keys=shard_keys)
+        assert len(cascade.bits) > 2 and (cascade.shards > 1) == (shard_keys == 100)
+        told = cascade.judge(universe, "key", "got")
+        assert told.count() == 6000 and told.where(F.col("got") != (F.crc32("key") % 5 == 0)).count() == 0
 
 
-def test_beyond_the_bound_rows_are_the_same(spark, monkeypatch):
-    df = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
-    listed = spark.createDataFrame([("x.net",), ("x.com",)], "key string")
-    one = sorted(map(tuple, url_filter.judge_urls(df, URL_RULES, listed).select("page_id", "verdict", "listed").collect()))
-    build = url_filter.build_cascade
-    monkeypatch.setattr(url_filter, "build_cascade", lambda u, k: build(u, k, max_bits=1))
-    assert sorted(map(tuple, url_filter.judge_urls(df, URL_RULES, listed).select("page_id", "verdict", "listed").collect())) == one
-
-
-def test_empty(spark):
+def test_empty_and_clashing(spark):
     df = spark.createDataFrame([], "page_id long, url string, host string, listed int")
     assert url_filter.judge_urls(df, URL_RULES, spark.createDataFrame([], "key string")).count() == 0
+    df = spark.createDataFrame([(1, "http://a.net/x", "h", 7, "s", 5, "k")], "page_id long, url string, host string, c0 int, shard string, w0 int, key string")
+    r = url_filter.judge_urls(df, URL_RULES, spark.createDataFrame([("a.net/x",)], "key string")).collect()
+    assert [(x.page_id, x.host, x.c0, x.shard, x.w0, x.key, x.verdict, x.listed) for x in r] == [(1, "a.net", 7, "s", 5, "k", "block", True)]

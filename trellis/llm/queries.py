@@ -106,14 +106,16 @@ URL_RULES = [
     url_filter.Rule("allow", "com", "/fr/"),
     url_filter.Rule("block", "com", "/de/"),
 ]
-#: Hosts that the block list names: a part of the host is one of these words.
+#: The tables have no block list, so it is made of the corpus: the pages of hosts that have one of these words as a part,
+#: and, so that the list is long, those with a number of these last digits.
 LISTED_HOST = r"(^|[.-])(ads|adult|bets|casino|pills|spam)([.-]|$)"
+LISTED_PATH = r"^/[a-z]+/[0-9]*[357](\.html)?/?$"
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    host = url_filter.host_of(F.col("url"))
-    listed = pages.select(host.alias("key")).distinct().where(F.col("key").rlike(LISTED_HOST))
+    host, path = url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))
+    listed = pages.where(host.rlike(LISTED_HOST) | path.rlike(LISTED_PATH)).select(url_filter.page_key(host, path).alias("key"))
     return url_filter.judge_urls(pages, URL_RULES, listed).select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
@@ -121,10 +123,11 @@ OP7_SQL = rf"""
 with a as (select page_id, case when url is null or strpos(url, '://') = 0 then '' else substr(url, strpos(url, '://') + 3) end as rest from pages),
 b as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from a),
+l as (select distinct host || path as key from b where regexp_matches(host, '{LISTED_HOST}') or regexp_matches(path, '{LISTED_PATH}')),
 rules(rule, h, p, v) as (values ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'),
   ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')),
 f as (select b.*, (select max_by(rule, length(rule)) from rules r where (b.host = r.h or ends_with(b.host, '.' || r.h)) and starts_with(b.path, r.p)) as rule,
-             regexp_matches(b.host, '{LISTED_HOST}') as listed from b)
+             host || path in (select key from l) as listed from b)
 select page_id, host, path, f.rule, coalesce(r.v, case when listed then 'block' else 'allow' end) as verdict, listed
 from f left join rules r on f.rule = r.rule
 """
