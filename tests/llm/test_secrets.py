@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -47,3 +48,12 @@ def test_edges(spark):
     assert scan(df.limit(0)).count() == 0
     assert scan(df.unionAll(df)).count() == 2 * len(odd_texts())
     assert scan(df.withColumn("hash", F.lit(1)).withColumn("base", F.lit(2))).count() == len(odd_texts())
+
+
+def test_fifty_thousand_hits_in_one_text(spark):
+    text = " ".join(f"{i:032x} Ab{i}{'cD2' * 9}" for i in range(25_000))
+    began = time.perf_counter()
+    r = secrets.scan(documents(spark, [text, "a"]), F.col("source"), F.col("lang")).where("doc_id = 0").first()
+    assert [(s.start, s.end) for s in r.base] == [m.span() for m in re.finditer(r"[0-9a-f]{32,}", text)]
+    assert len(r.added) == 25_000 and r.n_live == 25_000 and r.n_copied == 0
+    assert time.perf_counter() - began < 60

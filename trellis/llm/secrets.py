@@ -12,10 +12,13 @@ and the matches themselves, measured in turn.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trellis.functions.values import let
 from trellis.llm.shared import materialize, text_or_empty
 
 
@@ -26,6 +29,8 @@ class Kind:
     #: the group that holds the value, and the least length of it; shorter matches are dropped once found
     value: int = 0
     least: int = 0
+    #: what the value must hold besides
+    also: tuple[str, ...] = ()
 
 
 #: The base kinds, in their order. The last two match whole runs, so their least length is in the pattern.
@@ -35,9 +40,11 @@ BASE = (
     Kind("hex", r"[0-9a-f]{32,}"),
 )
 #: A run of 24 and more of a key's letters; it must hold a digit, a capital and a small letter.
-MIXED = Kind("live", r"[A-Za-z0-9+/_-]{24,}")
+MIXED = Kind("live", r"[A-Za-z0-9+/_-]{24,}", also=("[0-9]", "[A-Z]", "[a-z]"))
 #: A candidate that at most so many owners hold looks live.
 MOST_OWNERS = 1
+#: Matches are measured in blocks of so many: what adds to an array copies it, so blocks keep very long texts cheap.
+BLOCK = 256
 _SPANS = "array<struct<start:int,order:int,kind:string,end:int,hash:long>>"
 
 
@@ -46,23 +53,26 @@ def _found(text: Column, kind: Kind, order: int) -> Column:
     hits, between = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), F.split(text, kind.pattern)
     values = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(kind.value)) if kind.value else hits
     parts = F.arrays_zip(F.slice(between, 1, F.size(hits)).alias("gap"), hits.alias("hit"), values.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
+    none = F.array().cast(_SPANS)
 
     def step(acc: Column, x: Column) -> Column:
         begins = acc["at"] + F.length(x["gap"])
         ends = begins + F.length(x["hit"])
         span = F.struct(begins.alias("start"), F.lit(order).alias("order"), F.lit(kind.name).alias("kind"), ends.alias("end"), F.xxhash64(x["value"]).alias("hash"))
-        out = F.when(F.length(x["value"]) >= kind.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
+        fine = reduce(lambda a, b: a & b, [x["value"].rlike(p) for p in kind.also], F.length(x["value"]) >= kind.least)
+        out = F.when(fine, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
         return F.struct(ends.alias("at"), out.alias("out"))
 
-    none = F.array().cast(_SPANS)
-    return F.when(text.rlike(kind.pattern), F.aggregate(parts, start, step)["out"]).otherwise(none)
+    def block(acc: Column, x: Column) -> Column:
+        inner = F.aggregate(x, F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return F.struct(inner["at"].alias("at"), F.concat(acc["out"], F.array(inner["out"])).alias("out"))
 
+    def measured(parts: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / BLOCK).cast("int")), lambda i: F.slice(parts, i * BLOCK + 1, F.lit(BLOCK)))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPANS}>").alias("out"))
+        return F.flatten(F.aggregate(blocks, start, block)["out"])
 
-def _mixed(text: Column) -> Column:
-    spans = _found(text, MIXED, len(BASE))
-    value = lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"])
-    return F.filter(spans, lambda s: value(s).rlike("[0-9]") & value(s).rlike("[A-Z]") & value(s).rlike("[a-z]"))
+    return F.when(text.rlike(kind.pattern), let(parts, measured)).otherwise(none)
 
 
 def written(spans: Column) -> Column:
@@ -74,7 +84,7 @@ def candidate_spans(documents: DataFrame, owner: Column, repository: Column) ->
     """doc_id, owner, repository, base and mixed (arrays of spans), for every document."""
     text = text_or_empty("text")
     base = F.concat(*[_found(text, kind, i) for i, kind in enumerate(BASE)])
-    return documents.select("doc_id", owner.alias("owner"), repository.alias("repository"), base.alias("base"), _mixed(text).alias("mixed"))
+    return documents.select("doc_id", owner.alias("owner"), repository.alias("repository"), base.alias("base"), _found(text, MIXED, len(BASE)).alias("mixed"))
 
 
 def ownership(spans: DataFrame) -> DataFrame:
@@ -91,18 +101,21 @@ def scan(documents: DataFrame, owner: Column, repository: Column, most_owners: i
     spans whose value more than most_owners owners hold, and the others).
 
     owner and repository are columns of ``documents``; nulls count as one owner of their own. A null
-    text is an empty one, without spans. Rows that repeat a doc_id are each scanned; what is added to
-    them is told apart by a number within the id. An empty table gives an empty table. Other columns
+    text is an empty one, without spans. Rows that repeat a doc_id are each scanned, and told
+    apart by a hash of what was found. Values are told apart by 64 bits of hash. An empty table gives an empty table. Other columns
     aren't read."""
     whole = candidate_spans(documents, F.coalesce(owner, F.lit("")), F.coalesce(repository, F.lit("")))
     spans = materialize(whole.withColumn("row", F.xxhash64("doc_id", "owner", "repository", "base", "mixed")), "secret-spans")
-    told = ownership(spans)
-    each = spans.where(F.size("base") + F.size("mixed") > 0).select("doc_id", "row", F.explode(F.array_distinct(F.transform(F.concat("base", "mixed"), lambda s: s["hash"]))).alias("hash"))
-    rare = told.where(F.col("owners") <= most_owners).select("hash")
-    live = each.distinct().hint("merge").join(rare, "hash").groupBy(F.col("doc_id").alias("id_"), F.col("row").alias("row_")).agg(F.collect_set("hash").alias("live"))
+    rare = ownership(spans).where(F.col("owners") <= most_owners).select("hash")
+    base = lambda of, yes: F.transform(of, lambda s: F.struct(s.alias("s"), F.lit(yes).alias("base")))
+    each = spans.where(F.size("base") + F.size("mixed") > 0).select(F.col("doc_id").alias("id_"), F.col("row").alias("row_"), F.explode(F.concat(base("base", True), base("mixed", False))).alias("e")).select("id_", "row_", "e.*")
+    within = W.partitionBy("id_", "row_").orderBy("s.start", "s.order")
+    before = F.max(F.when(F.col("base"), F.col("s.end"))).over(within.rowsBetween(W.unboundedPreceding, -1))
+    after = F.min(F.when(F.col("base"), F.col("s.start"))).over(within.rowsBetween(1, W.unboundedFollowing))
+    # rows that repeat all are told apart by nothing, so each has the spans of all of them; they are made one here
+    each = each.distinct().withColumn("free", F.coalesce(before <= F.col("s.start"), F.lit(True)) & F.coalesce(after >= F.col("s.end"), F.lit(True)))
+    live = each.hint("merge").join(rare, F.col("s.hash") == rare["hash"], "left_semi").groupBy("id_", "row_")
+    live = live.agg(F.count_if("base").alias("live"), F.collect_list(F.when(~F.col("base") & F.col("free"), F.col("s"))).alias("added"))
     same = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("row") == F.col("row_"))
-    found = spans.join(live, same, "left").select("doc_id", "base", "mixed", F.coalesce("live", F.array().cast("array<long>")).alias("live"))
-    is_live = lambda s: F.array_contains(F.col("live"), s["hash"])
-    added = F.filter("mixed", lambda s: is_live(s) & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    n_live = F.size(F.filter("base", is_live)).cast("long")
-    return found.select("doc_id", "base", added.alias("added"), n_live.alias("n_live"), (F.size("base") - n_live).alias("n_copied"))
+    n_live = F.coalesce("live", F.lit(0)).cast("long")
+    return spans.join(live, same, "left").select("doc_id", "base", F.coalesce("added", F.array().cast(_SPANS)).alias("added"), n_live.alias("n_live"), (F.size("base") - n_live).alias("n_copied"))
