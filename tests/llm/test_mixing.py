@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import random
 import re
+import struct
+
+import xxhash
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import documents, odd_texts, words
 from trellis.llm import mixing
@@ -82,3 +87,45 @@ def test_empty_and_wordless(spark):
     assert mixing.mix(documents(spark, [])).count() == 0
     assert [r.copies for r in run(spark, [None, "", " "], ["a", "b", None])] == [0, 0, 0]
     assert mixing.mixed_documents(documents(spark, [None, "", " "])).count() == 0
+
+
+def unit(*longs):
+    """As Spark's xxhash64 of longs, the last an int, made a number in [0, 1)."""
+    h = 42
+    for x in longs[:-1]:
+        h = xxhash.xxh64_intdigest(struct.pack("<q", x), h)
+    h = xxhash.xxh64_intdigest(struct.pack("<i", longs[-1]), h)
+    return h % (1 << 40) / float(1 << 40)
+
+
+def replay(items, seed):
+    """Pivotal rounding of a bucket, pair by pair."""
+    done, left = [], None
+    for k, i, n, q in items:
+        if left is None:
+            left = (k, i, n, q)
+            continue
+        lk, li, a, p = left
+        up, down = min(1 - p, q * n / a), min(p, (1 - q) * n / a)
+        if unit(lk, li, k, i, seed) * (up + down) < down:
+            p2, q2 = (1.0 if up == 1 - p else p + up), (0.0 if up == q * n / a else q - up * a / n)
+        else:
+            p2, q2 = (0.0 if down == p else p - down), (1.0 if down == (1 - q) * n / a else q + down * a / n)
+        settled = [(x[0], x[1], x[2], 0.0 if v <= 1e-12 else 1.0 if v >= 1 - 1e-12 else v) for x, v in (((lk, li, a), p2), ((k, i, n), q2))]
+        done += [x for x in settled if x[3] in (0.0, 1.0)]
+        open_ = [x for x in settled if x[3] not in (0.0, 1.0)]
+        done += [(*x[:3], float(round(x[3]))) for x in open_[1:]]
+        left = open_[0] if open_ else None
+    return done, left
+
+
+def test_fold_as_pair_by_pair(spark):
+    r = random.Random(3)
+    for _ in range(6):
+        items = [(r.randrange(1, 4), r.getrandbits(62), r.randrange(1, 500), r.random() * 0.98 + 0.01) for _ in range(r.randrange(1, 40))]
+        df = spark.createDataFrame([(items,)], "x array<struct<k:long,id:long,n:long,p:double>>")
+        f = df.select(mixing._fold(F.col("x"), F.lit(7)).alias("f")).first().f
+        done, left = replay(items, 7)
+        assert [tuple(x) for x in f.done] == done and (f.left and tuple(f.left)) == left
+        # what was traded away and what was gained are the same words
+        assert abs(sum(n * p for *_, n, p in items) - sum(n * p for *_, n, p in [*done, *([left] if left else [])])) < 1e-6 * sum(n for *_, n, _ in items)

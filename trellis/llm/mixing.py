@@ -118,7 +118,8 @@ def pivotal_round(docs: DataFrame, seed: int = 7, bucket: int = BUCKET) -> DataF
 def _even_out(f: Column) -> Column:
     """The root's documents, the remaining one rounded to the nearer side; the words that this gives
     too few or too many are made up by turning over shorter documents of the root, longest first,
-    each only where that comes closer to the target."""
+    each only where that comes closer to the target. These few dozen documents of a source are so
+    chosen for the total, and their expected copies are no longer exactly their share."""
     rounded = F.transform(F.filter(F.array(f["left"]), lambda i: i.isNotNull()), lambda i: i.withField("p", F.round(i["p"])))
     items = F.concat(f["done"], rounded)
     miss = F.coalesce(f["left"]["n"] * (f["left"]["p"] - F.round(f["left"]["p"])), F.lit(0.0))
@@ -141,38 +142,47 @@ def _with(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right, F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
 
 
-def _keyed(documents: DataFrame) -> DataFrame:
-    """Adds id_ (doc_id, null: -1), size_ and k_, which numbers the rows of an id."""
-    rows = documents.withColumns({"id_": F.coalesce("doc_id", F.lit(-1).cast("long")), "size_": word_count(text_or_empty("text")), "h_": F.xxhash64("text")})
-    within = W.partitionBy("id_").orderBy("source", "size_", "h_")
-    return rows.withColumn("k_", F.row_number().over(within)).drop("h_")
+def _keyed(rows: DataFrame, key: str, text: str, source: str) -> DataFrame:
+    """Adds size, and id and k, together a row's key: a hash of key, source and text, and a number within that. Rows that
+    repeat all three are alike, so which of them has which number doesn't matter."""
+    hashed = F.xxhash64(F.col(key).isNull(), key, F.col(source).isNull(), source, F.col(text).isNull(), text)
+    rows = rows.withColumns({"id": hashed, "size": word_count(text_or_empty(text))})
+    within = W.partitionBy("id").orderBy(key, source, "size")
+    return rows.withColumn("k", F.row_number().over(within).cast("long"))
 
 
-def mix(documents: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, bucket: int = BUCKET) -> DataFrame:
-    """Copies of each document: doc_id, k, size, source, source_size, target, copies.
-
-    size counts ``[^\\x20\\x09-\\x0D]+`` in the text (null: 0). A null source is a source of its own,
-    the last. Documents without words get no copies. Rows that repeat a doc_id are told apart by k,
-    in order of source, size and text, so each gets copies of its own. Reruns agree, whatever the
-    partitioning. A source's words differ from its target by half a document's size at most, that
-    of the last document of its tree, and as a rule by a few words, as shorter ones make up for it.
-    An empty table gives an empty table. Only doc_id, text and source are read; other columns don't matter."""
-    sizes = _keyed(documents.select("doc_id", "text", "source"))
-    sizes = materialize(sizes.select("doc_id", "source", F.col("id_").alias("id"), F.col("k_").alias("k"), F.col("size_").alias("size")), "mix-sizes")
+def _copies(rows: DataFrame, key: str, text: str, source: str, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, bucket: int = BUCKET) -> DataFrame:
+    """doc, id, k, size, source, source_size, target, copies for each row."""
+    sizes = _keyed(rows.select(key, text, source), key, text, source)
+    sizes = materialize(sizes.select(F.col(key).alias("doc"), F.col(source).alias("source"), "id", "k", "size"), "mix-sizes")
     docs = _with(sizes, source_targets(sizes, weights, most))
     rate = F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     docs = docs.withColumn("sure", F.floor(rate)).withColumn("p", rate - F.floor(rate))
     open_ = docs.where("p > 0").select("source", "k", "id", F.col("size").alias("n"), "p")
     docs = docs.join(pivotal_round(open_, seed, bucket), ["id", "k"], "left")
-    return docs.select("doc_id", "id", "k", "size", "source", "source_size", "target", (F.col("sure") + F.coalesce("extra", F.lit(0))).alias("copies"))
+    return docs.select("doc", "id", "k", "size", "source", "source_size", "target", (F.col("sure") + F.coalesce("extra", F.lit(0))).alias("copies"))
 
 
-def mixed_documents(documents: DataFrame, **how) -> DataFrame:
-    """The mix itself: each document as often as mix() gives it copies, with the columns it has.
+def mix(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+    """Copies of each document: the key, k, size, source, source_size, target, copies. how: seed, weights, most, bucket.
 
-    Rows that repeat a doc_id are matched by k, as in mix()."""
+    size counts ``[^\\x20\\x09-\\x0D]+`` in the text (null: 0). A null source is a source of its own,
+    the last. Documents without words get no copies. Each row gets copies of its own: those that repeat
+    key, source and text are told apart by k, and a null key is a key like any other. Reruns agree,
+    whatever the partitioning. A source's words differ from its target by half a document's size at
+    most, that of the last document of its tree, and as a rule by a few words, as shorter ones make up
+    for it. Sources are taken for few: the windows over them, one row each, run in one task. An empty
+    table gives an empty table. Only key, text and source are read; other columns don't matter."""
+    found = _copies(documents.select(F.col(key).alias("c0"), F.col(text).alias("c1"), F.col(source).alias("c2")), "c0", "c1", "c2", **how)
+    return found.select(F.col("doc").alias(key), "k", "size", F.col("source").alias(source), "source_size", "target", "copies")
+
+
+def mixed_documents(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+    """The mix itself: each document as often as mix() gives it copies, with the columns it has."""
     names = documents.columns
-    copies = mix(documents, **how).groupBy(F.col("id").alias("for_")).agg(F.map_from_entries(F.collect_list(F.struct("k", "copies"))).alias("copies_"))
-    rows = _keyed(documents).join(copies, F.col("id_") == F.col("for_"))
-    times = F.array_repeat(F.lit(True), F.col("copies_")[F.col("k_")].cast("int"))
-    return rows.select(*names, F.explode(times).alias("copy_")).select(*names)
+    plain = documents.toDF(*[f"c{i}" for i in range(len(names))])  # so no column is called as one made here
+    at = [f"c{names.index(c)}" for c in (key, text, source)]
+    copies = _copies(plain, *at, **how).groupBy(F.col("id").alias("of")).agg(F.map_from_entries(F.collect_list(F.struct("k", "copies"))).alias("times"))
+    rows = _keyed(plain, *at).join(copies, F.col("id") == F.col("of"))
+    times = F.array_repeat(F.lit(True), F.col("times")[F.col("k")].cast("int"))
+    return rows.select(*plain.columns, F.explode(times).alias("copy")).select(*plain.columns).toDF(*names)
