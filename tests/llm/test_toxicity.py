@@ -5,9 +5,11 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import xxhash
+from pyspark.sql import functions as F
 
 from tests.compare import DATA
-from tests.llm.helpers import documents, odd_texts
+from tests.llm.helpers import documents, odd_texts, words
 from trellis.llm import toxicity
 from trellis.llm.queries import op9_toxicity
 
@@ -42,6 +44,55 @@ def test_rule_of_one_coordinate():
     assert abs(w[3] - value(z, n)) < 1e-12 and abs(bias - w[3]) < 1e-12
 
 
+def plain_features(text):
+    """Feature numbers of a text, one by one."""
+    out, h = set(), []
+    put = lambda x: out.add((x * 0x9E3779B97F4A7C15 % 2**64) >> (64 - toxicity.BITS))
+    for word in text.split():
+        word = word.lower().strip(toxicity.MARKS)
+        h.append(xxhash.xxh64_intdigest(word.encode(), 0) if word else 0)
+        put(h[-1])
+        for i, n in enumerate(toxicity.PREFIXES):
+            if len(word) > n:
+                put(xxhash.xxh64_intdigest(word[:n].encode(), i + 1))
+    for gap, shift in ((1, 1), (2, 3)):
+        for a, b in zip(h, h[gap:], strict=False):
+            put((a * 0x9E3779B97F4A7C15 % 2**64) ^ (b >> shift))
+    return sorted(out)
+
+
+def plain_ftrl(rows):
+    """The fit with dictionaries, a coordinate at a time."""
+    z, n, bias = {}, {}, 1 << toxicity.BITS
+    value = lambda c: 0.0 if abs(z.get(c, 0.0)) <= toxicity.L1 else (np.sign(z[c]) * toxicity.L1 - z[c]) / ((toxicity.BETA + n[c] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+    for _ in range(toxicity.EPOCHS):
+        for found, label in rows:
+            at = [*found, bias]
+            w = {c: value(c) for c in at}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - label
+            for c in at:
+                z[c] = z.get(c, 0.0) + g - ((n.get(c, 0.0) + g * g) ** 0.5 - n.get(c, 0.0) ** 0.5) / toxicity.ALPHA * w[c]
+                n[c] = n.get(c, 0.0) + g * g
+    return {c: value(c) for c in z}
+
+
+def test_features_and_fit_as_one_by_one(spark):
+    texts = [" ".join(words(30, i, of=40)) + (" Awful, stupidity! you-know" if i % 3 == 0 else " lovely <weather>") for i in range(24)] + ["", "...", None]
+    for t in texts:
+        assert sorted(set(toxicity.features(t).tolist())) == plain_features(t or "")
+    df = documents(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(24)], "doc_id long, toxic int")
+    order = [r.doc_id for r in labels.orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").collect()]
+    want = plain_ftrl([(plain_features(texts[i]), int(i % 3 == 0)) for i in order])
+    model = toxicity.fit(df, labels)
+    got = dict(zip(model.index.tolist(), model.weight.tolist(), strict=True)) | {1 << toxicity.BITS: model.bias}
+    assert {c for c, w in got.items() if w} == {c for c, w in want.items() if w}
+    assert all(abs(w - want[c]) < 1e-9 for c, w in got.items())
+    for r in toxicity.score(df, model).collect():
+        total = want[1 << toxicity.BITS] + sum(want.get(c, 0.0) for c in plain_features(r.text or ""))
+        assert abs(r.score - 1 / (1 + np.exp(-total))) < 1e-9
+
+
 def test_edges(spark):
     df = documents(spark, odd_texts())
     none = spark.createDataFrame([], "doc_id long, toxic int")

@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trellis.deploy import ship
 
@@ -218,13 +220,16 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] =
     whole text; special tokens' strings in it become the special tokens, and none is added. A null
     or empty text has no ids, and the digests of the empty string. ids_sha256 is over the decimal
     ids joined by commas, decoded_sha256 over the bytes that the ids decode to. Repeated rows give
-    repeated rows; an empty table gives an empty table. Columns not in ``keep`` aren't read."""
+    repeated rows; an empty table gives an empty table. Columns not in ``keep`` aren't read; one that is
+    called as a result is left out for it."""
     ship(df.sparkSession)
-    kept = [df.schema[c] for c in keep]
-    own = "n_tokens long, " + "ids array<int>, " * with_ids + "ids_sha256 string, decoded_sha256 string"
-    schema = df.select(*keep).schema
-    for field in df.sparkSession.createDataFrame([], own).schema:
-        schema = schema.add(field)
+    own = ["n_tokens", *["ids"] * with_ids, "ids_sha256", "decoded_sha256"]
+    names = [c for c in keep if c not in own]
+    plain = df.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], F.col(text).alias("text"))
+    kept = plain.columns[:-1]
+    schema = plain.select(*kept).schema
+    for name in own:
+        schema = schema.add(name, {"n_tokens": T.LongType(), "ids": T.ArrayType(T.IntegerType())}.get(name, T.StringType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
@@ -245,20 +250,23 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] =
                 arrays += [pa.array(said, pa.string()), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return df.select(*keep, df[text].alias("text_")).mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*names, *own)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in ``keep`` and text, which the ids decode to; null ids give a null text. Bytes that
-    aren't UTF-8, as of ids cut in the middle of a character, become U+FFFD."""
+    aren't UTF-8, as of ids cut in the middle of a character, become U+FFFD. A kept column called text is
+    left out for it. Repeated rows give repeated rows; an empty table gives an empty table."""
     ship(df.sparkSession)
-    schema = df.select(*keep).schema.add("text", "string")
+    names = [c for c in keep if c != "text"]
+    plain = df.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], F.col(ids).alias("ids"))
+    schema = plain.drop("ids").schema.add("text", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = encoder(path).vocabulary
         for batch in batches:
-            rows = batch.column(len(keep)).to_pylist()
+            rows = batch.column(len(names)).to_pylist()
             texts = [None if r is None else v.decode(np.array(r, np.int64)).decode("utf-8", "replace") for r in rows]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(texts, pa.string())], names=schema.names)
 
-    return df.select(*keep, ids).mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*names, "text")

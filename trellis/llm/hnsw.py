@@ -10,6 +10,8 @@ a shard, that is written to the shared folder and searched by blocks of queries.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from trellis.deploy import ship
 from trellis.llm.shared import materialize
-from trellis.llm.vectors import by_blocks, dealt, matrix, pairs_to_best, ranked, usable
+from trellis.llm.vectors import by_blocks, dealt, matrix, pairs_to_best, ranked, rows_within, usable
 
 SHARD_ROWS, BLOCK_ROWS = 16_384, 4_096
 #: Neighbours of a node above layer 0 and in it; breadth of the search while building and when asked.
@@ -221,18 +223,21 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, shards: int, bloc
                 q, mine = turned[part], query_ids[part]
                 found, _ = beam_on(graph, q, ef)
                 few = (found >= 0).sum(1) < min(k + 1, len(x))
-                row, node = np.nonzero(found >= 0)[0], found[found >= 0]
-                if few.any():  # a graph in pieces: all nodes for these queries
-                    other = np.flatnonzero(few)
-                    row, node = np.concatenate([row[~few[row]], np.repeat(other, len(x))]), np.concatenate([node[~few[row]], np.tile(np.arange(len(x)), len(other))])
-                # of ids with one vector the smallest count, one more as one may be the query's own
-                take = np.minimum(counts[node], k + 1)
-                row, at_ = np.repeat(row, take), np.repeat(begun[node], take) + np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
-                scores = np.einsum("ij,ij->i", asked[part][row], vectors[np.repeat(node, take)])
-                keep = ids[at_] != mine[row]
-                row, at_, scores = row[keep], at_[keep], scores[keep]
-                best = pairs_to_best(row, ids[at_], scores, k)
-                out = [np.concatenate(p) for p in zip(out, (mine[row[best]], ids[at_[best]], scores[best]), strict=True)]
+                at = found >= 0
+                at[few] = False
+                pieces = [(np.nonzero(at)[0], found[at])]
+                # a graph in pieces: all nodes for these queries, so many pairs at a time
+                other, step = np.flatnonzero(few), max(1, (1 << 22) // (len(x) * width))
+                pieces = chain(pieces, ((np.repeat(some, len(x)), np.tile(np.arange(len(x)), len(some))) for some in (other[i : i + step] for i in range(0, len(other), step))))
+                for row, node in pieces:
+                    # of ids with one vector the smallest count, one more as one may be the query's own
+                    take = np.minimum(counts[node], k + 1)
+                    row, at_ = np.repeat(row, take), np.repeat(begun[node], take) + np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
+                    scores = np.einsum("ij,ij->i", asked[part][row], vectors[np.repeat(node, take)])
+                    keep = ids[at_] != mine[row]
+                    row, at_, scores = row[keep], at_[keep], scores[keep]
+                    best = pairs_to_best(row, ids[at_], scores, k)
+                    out = [np.concatenate(p) for p in zip(out, (mine[row[best]], ids[at_[best]], scores[best]), strict=True)]
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
     return by_blocks(index, queries, blocks, shards, "id", search, "query_id long, vec_id long, score double")
@@ -259,6 +264,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int, key: str = "vec_id", vect
     live = usable(vector) & F.exists(F.col(vector), lambda x: x != 0) & F.col(key).isNotNull()
     rows = rows.where(live).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     total, asked, width = rows.agg(F.count(F.lit(1)), F.count_if("asks"), F.max(F.size("v"))).first()
-    shards, blocks, width = max(1, -(-total // shard_rows)), max(1, -(-asked // block_rows)), width or 1
+    width = width or 1
+    shards, blocks = max(1, -(-total // rows_within(shard_rows, width))), max(1, -(-asked // rows_within(block_rows, width)))
     index = materialize(build_index(rows.select("id", "v"), shards, width), "hnsw")
     return ranked(search_index(index, rows.where("asks").select("id", "v"), k, shards, blocks, width, ef), k)

@@ -18,10 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trellis.deploy import ship
-from trellis.llm.vectors import by_blocks, dealt, matrix, pairs_to_best, ranked, usable
+from trellis.llm.vectors import by_blocks, dealt, matrix, pairs_to_best, ranked, rows_within, usable
 
 SHARD_ROWS, BLOCK_ROWS = 16_384, 2_048
 CHUNK, HEAD, SCALE = 1_024, 16, 1024.0
+#: So many coordinates, the first, are turned; the others count among what is bounded.
+TURNED = 512
 
 
 def _integers(vectors: np.ndarray) -> np.ndarray:
@@ -29,20 +31,25 @@ def _integers(vectors: np.ndarray) -> np.ndarray:
 
 
 def singular_vectors(rows: DataFrame, vector: str, width: int) -> np.ndarray:
-    """width x width, the directions of most length first; from the sum of outer products over all rows."""
+    """The directions of most length first, of the first TURNED coordinates at most; from the sum of outer products
+    over all rows."""
+    wide = min(width, TURNED)
 
     def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((width, width))
+        total = np.zeros((wide, wide))
+        step = rows_within(SHARD_ROWS, width)
         for batch in batches:
-            table = pa.table({"id": pa.array(range(batch.num_rows), pa.int64()), "v": batch.column(0)})
-            x = _integers(matrix(table, "id", "v", width)[1])
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1)
-            total += x.T @ x
-        i, j = np.divmod(np.arange(width * width), width)
+            for at in range(0, batch.num_rows, step):
+                part = batch.column(0).slice(at, step)
+                table = pa.table({"id": pa.array(range(len(part)), pa.int64()), "v": part})
+                x = _integers(matrix(table, "id", "v", width)[1])
+                x = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1))[:, :wide]
+                total += x.T @ x
+        i, j = np.divmod(np.arange(wide * wide), wide)
         yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total.ravel())], names=["i", "j", "v"])
 
     sums = rows.select(vector).mapInArrow(outer, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
-    gram = np.zeros((width, width))
+    gram = np.zeros((wide, wide))
     gram[sums["i"], sums["j"]] = sums["v"]
     return np.linalg.eigh(gram)[1][:, ::-1]
 
@@ -52,7 +59,7 @@ def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     order = np.argsort(-np.linalg.norm(vectors, axis=1), kind="stable")
     ids, vectors = ids[order], vectors[order]
     length, q_length = np.linalg.norm(vectors, axis=1), np.linalg.norm(queries, axis=1)
-    head, q_head = (vectors @ turn)[:, :HEAD], (queries @ turn)[:, :HEAD]
+    head, q_head = (vectors[:, : len(turn)] @ turn[:, :HEAD], queries[:, : len(turn)] @ turn[:, :HEAD])
     rest, q_rest = (np.sqrt(np.maximum(n**2 - (h**2).sum(1), 0)) for n, h in ((length, head), (q_length, q_head)))
     # in doubles sums of integers under 2**53 are exact; beyond, Python's integers are
     exact = float(length.max(initial=0)) * float(q_length.max(initial=0)) < 2**53
@@ -92,14 +99,15 @@ def top_k(rows: DataFrame, is_query: Column, k: int, key: str = "vec_id", vector
     """query_id long, rank int, vec_id long, score long: for each row that is_query holds for, the k other
     rows with the highest inner product of floor(1024 * x), ties to the smaller id; all, if fewer.
 
-    Rows with a null id, and vectors that are null, empty or hold null or non-finite components, take
-    no part. Of rows that repeat an id the least vector counts. Vectors shorter than the longest are
+    Rows with a null id, and vectors that are null or hold null or non-finite components, take no
+    part; an empty vector scores 0. Of rows that repeat an id the least vector counts. Vectors shorter than the longest are
     taken to end in zeros. Scores beyond a long stop at its ends. Without queries, or in an empty
     table, there are no rows. Only the id and the vector are read."""
     ship(rows.sparkSession)
     rows = rows.where(usable(vector) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     total, asked, width = rows.agg(F.count(F.lit(1)), F.count_if("asks"), F.max(F.size("v"))).first()
-    shards, blocks, width = max(1, -(-total // shard_rows)), max(1, -(-asked // block_rows)), width or 1
+    width = width or 1
+    shards, blocks = max(1, -(-total // rows_within(shard_rows, width))), max(1, -(-asked // rows_within(block_rows, width)))
     turn = singular_vectors(rows, "v", width)
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:

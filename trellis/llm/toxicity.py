@@ -156,16 +156,19 @@ def score(df: DataFrame, model: Model, text: str = "text", name: str = "score")
     gives an empty table. A column of that name that ``df`` already has is replaced."""
     spark = df.sparkSession
     ship(spark)
-    kept = [c for c in df.columns if c != name]
+    names = [c for c in df.columns if c != name]
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # so no column is called as the text is here
+    kept = [f"c{i}" for i, c in enumerate(df.columns) if c != name]
     sent = spark.sparkContext.broadcast(model)  # at most 2**BITS weights, 12 MB
-    schema = df.select(*kept).schema.add(name, "double")
+    schema = plain.select(*kept).schema.add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [sent.value.score(t.as_py()) for t in batch.column(len(kept))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(found, pa.float64())], names=schema.names)
 
-    return df.select(*kept, df[text].alias("text_")).mapInArrow(run, schema)
+    scored = plain.select(*kept, F.col(f"c{df.columns.index(text)}").alias("text")).mapInArrow(run, schema)
+    return scored.toDF(*names, name)
 
 
 def held_out(key: str = "doc_id") -> Column:

@@ -19,9 +19,14 @@ from trellis.deploy import ship
 
 
 def usable(vector: str) -> Column:
-    """False for null and empty vectors and those that hold a null, NaN or infinite component."""
+    """False for null vectors and those that hold a null, NaN or infinite component."""
     fine = F.forall(F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    return F.coalesce((F.size(vector) > 0) & fine, F.lit(False))
+    return F.coalesce(F.col(vector).isNotNull() & fine, F.lit(False))
+
+
+def rows_within(most: int, width: int) -> int:
+    """How many vectors of a width may lie in one task: ``most``, or as many as take 128 MB as doubles."""
+    return max(1, min(most, (1 << 24) // max(1, width)))
 
 
 def dealt(key: str, of: int, salt: int) -> Column:
