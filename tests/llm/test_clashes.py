@@ -27,7 +27,7 @@ def names(*modules) -> list[str]:
 
 def wider(df, *modules):
     """``df`` with a column of each of these names, and some of plain numbering."""
-    extra = [*names(*modules), "c0", "c1", "c2"]
+    extra = sorted({*names(*modules), "c0", "c1", "c2"})
     return df.select("*", *[F.lit(f"extra {n}").alias(n) for n in extra]), extra
 
 
