@@ -6,6 +6,7 @@ import re
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_pieces(batches: Iterator, rows: int = 512) -> Iterator:
+    """Arrow batches as smaller ones, so that a worker holds the results of so many rows at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def spread(df: DataFrame, rows: int, *keys: str, each: int = 2_000_000) -> DataFrame:
     """``df``, a small table that will become ``rows`` rows, dealt so that a task makes about ``each`` of them. A small
     file is otherwise one task, however much is made of it."""

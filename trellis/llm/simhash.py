@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from trellis.deploy import ship
 from trellis.llm.components import components
-from trellis.llm.shared import let_go, materialize, spread
+from trellis.llm.shared import in_pieces, let_go, materialize, spread
 
 BITS, RADIUS, BLOCKS = 64, 3, 6
 
@@ -60,7 +60,7 @@ def fingerprints(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
     schema = df.select(*keep).schema.add("fp", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_pieces(batches):
             found = [_signed(fingerprint_of(t.as_py(), words)) for t in batch.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found, pa.int64())], names=schema.names)
 
@@ -164,7 +164,7 @@ def _sketched(plain: DataFrame, text: str) -> DataFrame:
     schema = plain.select("*").schema.add("id", "long").add("anchors", T.ArrayType(T.LongType())).add("prints", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_pieces(batches):
             ids, anchors, prints = [], [], []
             for value in batch.column(n):
                 h = shingles(value.as_py())
@@ -182,7 +182,7 @@ def _sets(texts: DataFrame) -> DataFrame:
     ship(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_pieces(batches, 64):
             found = [shingles(t.as_py()).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "set"])
 

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trellis.deploy import ship
+from trellis.llm.shared import in_pieces
 
 BITS = 20
 #: The bound of the fitting sample, in rows.
@@ -124,7 +125,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", key: str
     rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).join(marked, "k").select("at", "k", "y", "t")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_pieces(batches):
             found = [np.unique(features(t.as_py())) for t in batch.column(3)]
             lists = pa.array(found, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], names=["at", "k", "y", "f"])
@@ -163,7 +164,7 @@ def score(df: DataFrame, model: Model, text: str = "text", name: str = "score")
     schema = plain.select(*kept).schema.add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_pieces(batches):
             found = [sent.value.score(t.as_py()) for t in batch.column(len(kept))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(found, pa.float64())], names=schema.names)
 
