@@ -109,9 +109,10 @@ def scan(documents: DataFrame, owner: Column, repository: Column, most_owners: i
     rare = ownership(spans).where(F.col("owners") <= most_owners).select("hash")
     base = lambda of, yes: F.transform(of, lambda s: F.struct(s.alias("s"), F.lit(yes).alias("base")))
     each = spans.where(F.size("base") + F.size("mixed") > 0).select(F.col("doc_id").alias("id_"), F.col("row").alias("row_"), F.explode(F.concat(base("base", True), base("mixed", False))).alias("e")).select("id_", "row_", "e.*")
-    within = W.partitionBy("id_", "row_").orderBy("s.start", "s.order")
-    before = F.max(F.when(F.col("base"), F.col("s.end"))).over(within.rowsBetween(W.unboundedPreceding, -1))
-    after = F.min(F.when(F.col("base"), F.col("s.start"))).over(within.rowsBetween(1, W.unboundedFollowing))
+    # both are running values: what comes after is what came before in the reverse order
+    forth, back = W.partitionBy("id_", "row_").orderBy("s.start", "s.order"), W.partitionBy("id_", "row_").orderBy(F.desc("s.start"), F.desc("s.order"))
+    before = F.max(F.when(F.col("base"), F.col("s.end"))).over(forth.rowsBetween(W.unboundedPreceding, -1))
+    after = F.min(F.when(F.col("base"), F.col("s.start"))).over(back.rowsBetween(W.unboundedPreceding, -1))
     # rows that repeat all are told apart by nothing, so each has the spans of all of them; they are made one here
     each = each.distinct().withColumn("free", F.coalesce(before <= F.col("s.start"), F.lit(True)) & F.coalesce(after >= F.col("s.end"), F.lit(True)))
     live = each.hint("merge").join(rare, F.col("s.hash") == rare["hash"], "left_semi").groupBy("id_", "row_")
