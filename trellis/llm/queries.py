@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import bpe, hnsw, line_dedup, mixing, passages, secrets, simhash, topk, toxicity, url_filter
+from trellis.llm import bpe, hnsw, line_dedup, mixing, passages, secrets, simhash, topk, toxicity, url_filter, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -149,5 +149,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
 
 
-QUERIES = {"op1_exact_topk": op1_exact_topk, "op2_bpe": op2_bpe, "op3_passages": op3_passages, "op4_secrets": op4_secrets, "op5_line_dedup": op5_line_dedup, "op6_simhash": op6_simhash, "op7_url_filters": op7_url_filters, "op8_hnsw": op8_hnsw, "op9_toxicity": op9_toxicity, "op10_mixing": op10_mixing}
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), 8)
+
+
+QUERIES = {"op1_exact_topk": op1_exact_topk, "op2_bpe": op2_bpe, "op3_passages": op3_passages, "op4_secrets": op4_secrets, "op5_line_dedup": op5_line_dedup, "op6_simhash": op6_simhash, "op7_url_filters": op7_url_filters, "op8_hnsw": op8_hnsw, "op9_toxicity": op9_toxicity, "op10_mixing": op10_mixing, "op12_whitening": op12_whitening}
 ORACLE_SQL = {"op1_exact_topk": OP1_SQL, "op4_secrets": OP4_SQL, "op5_line_dedup": OP5_SQL, "op7_url_filters": OP7_SQL}
