@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import bpe, hnsw, line_dedup, mixing, passages, secrets, simhash, topk, toxicity, url_filter, whitening
+from trellis.llm import bpe, hnsw, line_dedup, mixing, negatives, passages, secrets, simhash, topk, toxicity, url_filter, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -149,9 +149,28 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label")))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0, 5, 3)
+
+
+OP11_SQL = """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+           where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same, cast(list_inner_product(a.e, c.e) as bigint) as score
+      from v a join v c on a.vec_id <> c.vec_id where a.vec_id % 50 = 0),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same
+      qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, cast(row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) as integer) as rank,
+       vec_id as negative_id, positive_score, score as negative_score
+from p join s using (anchor_id) where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score qualify rank <= 3
+"""
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"), 8)
 
 
-QUERIES = {"op1_exact_topk": op1_exact_topk, "op2_bpe": op2_bpe, "op3_passages": op3_passages, "op4_secrets": op4_secrets, "op5_line_dedup": op5_line_dedup, "op6_simhash": op6_simhash, "op7_url_filters": op7_url_filters, "op8_hnsw": op8_hnsw, "op9_toxicity": op9_toxicity, "op10_mixing": op10_mixing, "op12_whitening": op12_whitening}
-ORACLE_SQL = {"op1_exact_topk": OP1_SQL, "op4_secrets": OP4_SQL, "op5_line_dedup": OP5_SQL, "op7_url_filters": OP7_SQL}
+QUERIES = {"op1_exact_topk": op1_exact_topk, "op2_bpe": op2_bpe, "op3_passages": op3_passages, "op4_secrets": op4_secrets, "op5_line_dedup": op5_line_dedup, "op6_simhash": op6_simhash, "op7_url_filters": op7_url_filters, "op8_hnsw": op8_hnsw, "op9_toxicity": op9_toxicity, "op10_mixing": op10_mixing, "op11_hard_negatives": op11_hard_negatives, "op12_whitening": op12_whitening}
+ORACLE_SQL = {"op1_exact_topk": OP1_SQL, "op4_secrets": OP4_SQL, "op5_line_dedup": OP5_SQL, "op7_url_filters": OP7_SQL, "op11_hard_negatives": OP11_SQL}
