@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import bpe, hnsw, line_dedup, mixing, negatives, passages, secrets, simhash, topk, toxicity, url_filter, whitening
+from trellis.llm import bpe, hnsw, line_dedup, mixing, negatives, passages, pii, secrets, simhash, topk, toxicity, url_filter, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -172,5 +172,50 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"), 8)
 
 
-QUERIES = {"op1_exact_topk": op1_exact_topk, "op2_bpe": op2_bpe, "op3_passages": op3_passages, "op4_secrets": op4_secrets, "op5_line_dedup": op5_line_dedup, "op6_simhash": op6_simhash, "op7_url_filters": op7_url_filters, "op8_hnsw": op8_hnsw, "op9_toxicity": op9_toxicity, "op10_mixing": op10_mixing, "op11_hard_negatives": op11_hard_negatives, "op12_whitening": op12_whitening}
-ORACLE_SQL = {"op1_exact_topk": OP1_SQL, "op4_secrets": OP4_SQL, "op5_line_dedup": OP5_SQL, "op7_url_filters": OP7_SQL, "op11_hard_negatives": OP11_SQL}
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scan(_table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    added = F.transform("added", lambda s: F.struct(s["start"], s["order"], s["kind"], s["end"], s["hash"]))
+    spans = pii.written(F.concat("base", added))
+    terms, removed = F.size("added").cast("long").alias("n_term"), F.size(F.filter("added", lambda s: s["removed"])).cast("long").alias("n_removed")
+    return found.select("doc_id", *map(count, ("email", "ip", "card", "phone")), F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), spans.alias("spans"), terms, removed)
+
+
+def _cut_sql(order: int, kind: str, pattern: str) -> str:
+    return f"""select doc_id, {order} as k, '{kind}' as kind, unnest(regexp_extract_all(t, '{pattern}')) as hit, unnest(string_split_regex(t, '{pattern}')) as gap, generate_subscripts(string_split_regex(t, '{pattern}'), 1) as i from d"""
+
+
+_DIGIT = "(substr(lpad(regexp_replace(hit, '[^0-9]', '', 'g'), 19, '0'), 19 - i, 1))::int"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+OP13_SQL = rf"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+e as ({_cut_sql(0, "email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+")} union all {_cut_sql(1, "ip", "[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+")}
+      union all {_cut_sql(2, "card", "[0-9](?:[ -]?[0-9])+")} union all {_cut_sql(3, "phone", "[+][0-9][ ().0-9-]+[0-9]")}),
+p as (select *, regexp_replace(hit, '[^0-9]', '', 'g') as digits, sum(length(gap) + coalesce(length(hit), 0)) over (partition by doc_id, k order by i) as upto, lead(gap) over (partition by doc_id, k order by i) as nxt from e),
+m as (select row_number() over () as mid, doc_id, k, kind, case k when 0 then translate(hit, '{_UPPER}', '{_LOWER}') when 1 then hit else digits end as entity, (upto - length(hit))::bigint as a, upto::bigint as b,
+      right(gap, 64) as before, left(nxt, 64) as after, length(gap) > 64 as cut_before, length(nxt) > 64 as cut_after from p where hit is not null and case k
+      when 0 then true when 1 then len(list_filter(string_split(hit, '.'), lambda x: length(ltrim(x, '0')) > 3 or ('0' || right(x, 3))::int > 255)) = 0
+      when 2 then length(digits) between 14 and 19 and list_sum(list_transform(range(0, 19), lambda i: {_DIGIT} * (1 + i % 2) - case when i % 2 = 1 and {_DIGIT} > 4 then 9 else 0 end)) % 10 = 0
+      else length(digits) between 10 and 15 end),
+w as (select mid, 0 as side, before as txt, a - length(before) as base, cut_before as cut from m union all select mid, 1, after, b, cut_after from m),
+x as (select mid, side, base, cut, length(txt) as n, unnest(regexp_extract_all(txt, '\p{{L}}+')) as word, unnest(string_split_regex(txt, '\p{{L}}+')) as gap, generate_subscripts(string_split_regex(txt, '\p{{L}}+'), 1) as j from w),
+y as (select *, (sum(length(gap) + coalesce(length(word), 0)) over (partition by mid, side order by j))::bigint as z from x),
+near as (select doc_id, entity || '/' || (k > 1)::int as entity, before || chr(0) || after as context, translate(word, '{_UPPER}', '{_LOWER}') as term, base + z - length(word) as s, base + z as e
+         from y join m using (mid) where word is not null and length(word) >= 4 and not (cut and (side = 0 and z = length(word) or side = 1 and z = n))),
+forms as (select form, count(*) as texts from (select distinct doc_id, unnest([u, left(u, 3) || '*']) as form from (select doc_id, unnest(regexp_extract_all(translate(t, '{_UPPER}', '{_LOWER}'), '\p{{L}}+')) as u from d) where length(u) >= 4) group by 1),
+holds as (select entity || '/' || (k > 1)::int as entity, count(distinct doc_id) as held, (select count(*) from d)::double as n from m group by 1),
+pairs as (select entity, form, count(distinct doc_id) as co, count(distinct context) as seen from (select entity, doc_id, context, unnest([term, left(term, 3) || '*']) as form from near) group by 1, 2),
+told as (select entity, form from pairs join forms using (form) join holds using (entity) where seen >= 3 and held < n and log2(co * n / (held * texts::double)) / log2(n / held) >= 0.9),
+hits as (select doc_id, s, e, max((g.form is not null)::int) as removed from near join told using (entity) left join told g on g.entity = near.entity and g.form = left(term, 3) || '*' where told.form = term group by 1, 2, 3),
+added as (select h.* from hits h where not exists (select 1 from m where m.doc_id = h.doc_id and m.a < h.e and h.s < m.b)),
+every as (select doc_id, k, kind, a, b, 0 as removed from m union all select doc_id, 4, 'term', s, e, removed from added),
+g as (select doc_id, count(*) filter (where k = 0) as n_email, count(*) filter (where k = 1) as n_ip, count(*) filter (where k = 2) as n_card, count(*) filter (where k = 3) as n_phone, count(*) filter (where k = 4) as n_term, sum(removed)::bigint as n_removed,
+      string_agg(kind || ':' || a || ':' || b, ',' order by a, k) filter (where k < 4) as base, string_agg(kind || ':' || a || ':' || b, ',' order by a, k) as spans from every group by 1)
+select doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card, coalesce(n_phone, 0) as n_phone, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans,
+       coalesce(n_term, 0) as n_term, coalesce(n_removed, 0)::bigint as n_removed
+from documents left join g using (doc_id)
+"""
+
+
+QUERIES = {"op1_exact_topk": op1_exact_topk, "op2_bpe": op2_bpe, "op3_passages": op3_passages, "op4_secrets": op4_secrets, "op5_line_dedup": op5_line_dedup, "op6_simhash": op6_simhash, "op7_url_filters": op7_url_filters, "op8_hnsw": op8_hnsw, "op9_toxicity": op9_toxicity, "op10_mixing": op10_mixing, "op11_hard_negatives": op11_hard_negatives, "op12_whitening": op12_whitening, "op13_pii": op13_pii}
+ORACLE_SQL = {"op1_exact_topk": OP1_SQL, "op4_secrets": OP4_SQL, "op5_line_dedup": OP5_SQL, "op7_url_filters": OP7_SQL, "op11_hard_negatives": OP11_SQL, "op13_pii": OP13_SQL}

@@ -5,86 +5,35 @@ candidates, and each candidate, base or mixed, is hashed and counted by the dist
 repositories that hold it. What many owners share is an example that gets copied; what stays with
 one owner looks live. A mixed token that looks live is added as kind ``live``; base spans stay either way.
 
-DataFrame functions only. Positions come from cutting a text at its matches: what lies between them
-and the matches themselves, measured in turn.
+DataFrame functions only.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trellis.functions.values import let
 from trellis.llm.shared import materialize, text_or_empty
-
-
-@dataclass(frozen=True)
-class Kind:
-    name: str
-    pattern: str
-    #: the group that holds the value, and the least length of it; shorter matches are dropped once found
-    value: int = 0
-    least: int = 0
-    #: what the value must hold besides
-    also: tuple[str, ...] = ()
-
+from trellis.llm.spans import SPAN, Kind, apart_from_base, found, written  # noqa: F401  written is for those who scan
 
 #: The base kinds, in their order. The last two match whole runs, so their least length is in the pattern.
 BASE = (
-    Kind("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    Kind("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, lambda v: F.length(v) >= 8),
     Kind("access", r"AKIA[A-Z0-9]{12,}"),
     Kind("hex", r"[0-9a-f]{32,}"),
 )
 #: A run of 24 and more of a key's letters; it must hold a digit, a capital and a small letter.
-MIXED = Kind("live", r"[A-Za-z0-9+/_-]{24,}", also=("[0-9]", "[A-Z]", "[a-z]"))
+MIXED = Kind("live", r"[A-Za-z0-9+/_-]{24,}", stays=lambda v: v.rlike("[0-9]") & v.rlike("[A-Z]") & v.rlike("[a-z]"))
 #: A candidate that at most so many owners hold looks live.
 MOST_OWNERS = 1
-#: Matches are measured in blocks of so many: what adds to an array copies it, so blocks keep very long texts cheap.
-BLOCK = 256
-_SPANS = "array<struct<start:int,order:int,kind:string,end:int,hash:long>>"
-
-
-def _found(text: Column, kind: Kind, order: int) -> Column:
-    """The spans of a kind in a text, leftmost first and without overlap; in code points, end exclusive."""
-    hits, between = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), F.split(text, kind.pattern)
-    values = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(kind.value)) if kind.value else hits
-    parts = F.arrays_zip(F.slice(between, 1, F.size(hits)).alias("gap"), hits.alias("hit"), values.alias("value"))
-    none = F.array().cast(_SPANS)
-
-    def step(acc: Column, x: Column) -> Column:
-        begins = acc["at"] + F.length(x["gap"])
-        ends = begins + F.length(x["hit"])
-        span = F.struct(begins.alias("start"), F.lit(order).alias("order"), F.lit(kind.name).alias("kind"), ends.alias("end"), F.xxhash64(x["value"]).alias("hash"))
-        fine = reduce(lambda a, b: a & b, [x["value"].rlike(p) for p in kind.also], F.length(x["value"]) >= kind.least)
-        out = F.when(fine, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-        return F.struct(ends.alias("at"), out.alias("out"))
-
-    def block(acc: Column, x: Column) -> Column:
-        inner = F.aggregate(x, F.struct(acc["at"].alias("at"), none.alias("out")), step)
-        return F.struct(inner["at"].alias("at"), F.concat(acc["out"], F.array(inner["out"])).alias("out"))
-
-    def measured(parts: Column) -> Column:
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / BLOCK).cast("int")), lambda i: F.slice(parts, i * BLOCK + 1, F.lit(BLOCK)))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPANS}>").alias("out"))
-        return F.flatten(F.aggregate(blocks, start, block)["out"])
-
-    return F.when(text.rlike(kind.pattern), let(parts, measured)).otherwise(none)
-
-
-def written(spans: Column) -> Column:
-    """kind:start:end of the spans by start, then by kind as listed, joined by commas."""
-    return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+_SPANS = f"array<struct<{SPAN}>>"
 
 
 def candidate_spans(documents: DataFrame, owner: Column, repository: Column) -> DataFrame:
     """doc_id, owner, repository, base and mixed (arrays of spans), for every document."""
     text = text_or_empty("text")
-    base = F.concat(*[_found(text, kind, i) for i, kind in enumerate(BASE)])
-    return documents.select("doc_id", owner.alias("owner"), repository.alias("repository"), base.alias("base"), _found(text, MIXED, len(BASE)).alias("mixed"))
+    base = F.concat(*[found(text, kind, i) for i, kind in enumerate(BASE)])
+    return documents.select("doc_id", owner.alias("owner"), repository.alias("repository"), base.alias("base"), found(text, MIXED, len(BASE)).alias("mixed"))
 
 
 def ownership(spans: DataFrame) -> DataFrame:
@@ -109,12 +58,8 @@ def scan(documents: DataFrame, owner: Column, repository: Column, most_owners: i
     rare = ownership(spans).where(F.col("owners") <= most_owners).select("hash")
     base = lambda of, yes: F.transform(of, lambda s: F.struct(s.alias("s"), F.lit(yes).alias("base")))
     each = spans.where(F.size("base") + F.size("mixed") > 0).select(F.col("doc_id").alias("id_"), F.col("row").alias("row_"), F.explode(F.concat(base("base", True), base("mixed", False))).alias("e")).select("id_", "row_", "e.*")
-    # both are running values: what comes after is what came before in the reverse order
-    forth, back = W.partitionBy("id_", "row_").orderBy("s.start", "s.order"), W.partitionBy("id_", "row_").orderBy(F.desc("s.start"), F.desc("s.order"))
-    before = F.max(F.when(F.col("base"), F.col("s.end"))).over(forth.rowsBetween(W.unboundedPreceding, -1))
-    after = F.min(F.when(F.col("base"), F.col("s.start"))).over(back.rowsBetween(W.unboundedPreceding, -1))
     # rows that repeat all are told apart by nothing, so each has the spans of all of them; they are made one here
-    each = each.distinct().withColumn("free", F.coalesce(before <= F.col("s.start"), F.lit(True)) & F.coalesce(after >= F.col("s.end"), F.lit(True)))
+    each = apart_from_base(each.distinct())
     live = each.hint("merge").join(rare, F.col("s.hash") == rare["hash"], "left_semi").groupBy("id_", "row_")
     live = live.agg(F.count_if("base").alias("live"), F.collect_list(F.when(~F.col("base") & F.col("free"), F.col("s"))).alias("added"))
     same = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("row") == F.col("row_"))
