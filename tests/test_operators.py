@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trellis.functions import text as X
 from trellis.operators import diff, folds, matching, ranking, review, sets, trust
-from trellis.operators.nest import nest, suffixed, with_latest
+from trellis.operators.nest import nest, with_latest
 
 AS_OF = "2000-01-31 00:00:00"
 
@@ -133,15 +133,12 @@ def test_claims_go_stale_by_kind(spark):
     assert {r.claim_id: r.state for r in trust.claim_states(claims, events, AS_OF).collect()} == {1: "verified", 2: "stale", 3: "verified", 4: "unknown"}
 
 
-def test_nest_latest_and_slugs(spark):
+def test_nest_and_latest(spark):
     parents = spark.createDataFrame([(1,), (2,)], "k int")
     children = spark.createDataFrame([(1, 5, "b"), (1, None, "c"), (1, 2, "a")], "p int, o int, v string")
     rows = nest(parents, "k", {"c": (children, "p", ["v"], ["o", "v"])}).orderBy("k").collect()
     assert [[x.v for x in r.c] for r in rows] == [["a", "b", "c"], []]
     assert tuples(with_latest(parents, "k", children, "p", ["o"], ["v"])) == [(1, "b"), (2, None)]
-    slugs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "a")], "i int, s string")
-    taken = spark.createDataFrame([("b",)], "s string")
-    assert [r.s for r in suffixed(slugs, "s", [F.asc("i")], taken).orderBy("i").collect()] == ["a", "a-2", "b-2", "a-3"]
 
 
 def test_tables_take_in_rows(spark):

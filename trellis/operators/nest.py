@@ -75,15 +75,3 @@ def by_digest_prefix(rows: DataFrame, digest: str, prefix: str) -> DataFrame:
     one = found.agg(F.count_distinct(digest).alias("n_"), F.count_distinct(F.when(F.col(digest) == prefix, F.col(digest))).alias("exact_"))
     sure = (F.col("n_") == 1) | ((F.col("exact_") == 1) & (F.col(digest) == prefix))
     return found.crossJoin(F.broadcast(one)).where(sure).drop("n_", "exact_")
-
-
-def suffixed(rows: DataFrame, slug: str, order: list[Column], taken: DataFrame | None = None) -> DataFrame:
-    """Makes slugs unique: the second row of a slug gets -2, the third -3, and so on; a slug that ``taken`` (one
-    column, of that name) has counts as a row before them."""
-    n = F.row_number().over(W.partitionBy(slug).orderBy(*order))
-    if taken is not None:
-        used = taken.select(F.col(slug).alias("used_")).distinct()
-        rows = rows.join(used, F.col(slug) == F.col("used_"), "left")
-        n = n + F.col("used_").isNotNull().cast("int")
-    numbered = rows.withColumn("n_", n).drop("used_")
-    return numbered.withColumn(slug, F.when(F.col("n_") > 1, F.concat(slug, F.lit("-"), F.col("n_").cast("string"))).otherwise(F.col(slug))).drop("n_")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trellis.functions import parsers as P
 from trellis.functions import text as X
 from trellis.functions import values as V
-from trellis.operators.nest import suffixed
+from trellis.operators.slugs import unique_slugs
 from trellis.plans.registry import AS_OF, Tables, query
 from trellis.sources import exports, pages, tables
 
@@ -29,11 +29,27 @@ def x01_slugs(t: Tables) -> DataFrame:
 
 
 @query(f"""
-with s as (select p_partkey, {DASHED.format("p_name")} as slug, row_number() over (partition by {DASHED.format("p_name")} order by p_partkey) as n from part)
-select p_partkey, slug || case when n > 1 then '-' || n else '' end as slug from s""")
+with recursive w as (select p_partkey, p_size, {DASHED.format("split_part(p_type, ' ', 1)")} as kind from part),
+r as (select p_partkey, kind || case p_partkey % 6 when 0 then '-' || (p_partkey % 41 + 2) when 1 then '-' || (p_partkey % 5 + 2) || '-2' else '' end as slug, row_number() over (order by p_partkey) as i from w),
+h as (select distinct kind || '-' || p_size as slug from w where p_size <= 7),
+n as (select slug, count(*) + (select count(distinct slug) from (select slug from r union all select slug from h)) as most from r group by 1),
+u as (select slug, unnest(range(1, most + 1)) as n from n),
+c as (select slug, n, slug || case when n > 1 then '-' || n else '' end as made from u),
+p as (select made, (row_number() over () - 1)::int as pos from (select distinct made from c)),
+f as (select slug, n, made, pos from c join p using (made)),
+used as (select bit_or(set_bit(('0' || repeat('0', (select count(*) from p)::int))::bit, pos, 1)) as bits from h join p on made = h.slug),
+s(i, bits, made) as (
+  select 0::bigint, coalesce(bits, ('0' || repeat('0', (select count(*) from p)::int))::bit), null::varchar from used
+  union all
+  select s.i + 1, set_bit(any_value(s.bits), min_by(f.pos, f.n), 1), min_by(f.made, f.n) from s join r on r.i = s.i + 1 join f on f.slug = r.slug where get_bit(s.bits, f.pos) = 0 group by s.i)
+select p_partkey, made as slug from s join r using (i)""")
 def x02_unique_slugs(t: Tables) -> DataFrame:
-    rows = t.part.select("p_partkey", X.dashed_slug("p_name", None).alias("slug"))
-    return suffixed(rows, "slug", [F.asc("p_partkey")])
+    """Parts share a few slugs, some of which end in numbers, so that they stand in each other's way; others are taken."""
+    k = F.col("p_partkey")
+    kind = X.dashed_slug(F.split("p_type", " ")[0], None)
+    end = F.when(k % 6 == 0, F.concat(F.lit("-"), (k % 41 + 2).cast("string"))).when(k % 6 == 1, F.concat(F.lit("-"), (k % 5 + 2).cast("string"), F.lit("-2"))).otherwise("")
+    taken = t.part.where("p_size <= 7").select(F.concat(kind, F.lit("-"), F.col("p_size").cast("string")).alias("slug"))
+    return unique_slugs(t.part.select("p_partkey", F.concat(kind, end).alias("slug")), "slug", [F.asc("p_partkey")], taken)
 
 
 @query(rf"select p_partkey, {MATCH.format(NAMED)} as name, trim(regexp_replace(lower({NAMED}), '[^a-z0-9]+', ' ', 'g')) as item from part")
