@@ -7,8 +7,10 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from tests.metrics import joined_rows
 from trellis.functions import text as X
 from trellis.operators import diff, folds, matching, ranking, review, sets, trust
+from trellis.operators.keep import written
 from trellis.operators.nest import nest, with_latest
 
 AS_OF = "2000-01-31 00:00:00"
@@ -227,3 +229,67 @@ def test_a_chain_of_candidates_is_decided_in_order(spark):
         if by is None:
             taken.append((i, n, d))
     assert found == want
+
+
+def test_names_of_few_words_meet_seldom(spark):
+    """Names that share most bigrams: joins write a small part of all pairs, and the pairs are right."""
+    r = random.Random(7)
+    words = ["large", "small", "hot", "blue", "old", "ring", "bolt", "plate", "gear", "nut", "economy", "standard", "promo", "medium"]
+    a, b = ([(i, " ".join([*r.sample(words, 3), f"brand {r.randrange(30)}"])) for i in range(n)] for n in (400, 500))
+    left, right = spark.createDataFrame(a, "i int, n string"), spark.createDataFrame(b, "j int, m string")
+    grams = lambda t: {t[i : i + 2] for i in range(len(t) - 1)}
+    want = {(i, j) for i, n in a for j, m in b if 2 * len(grams(n) & grams(m)) / (len(grams(n)) + len(grams(m))) >= 0.8}
+    found = set()
+    joined = joined_rows(spark, lambda: found.update((p.i, p.j) for p in matching.near_names(left, "i", "n", right, "j", "m").collect()))
+    assert found == want
+    assert max(joined) < 0.1 * len(a) * len(b), (joined, len(want))
+
+
+def test_queries_like_nothing_meet_few_rows(spark):
+    """Queries that share one common trigram with all rows, or none: a bound of their own keeps most rows away."""
+    a = [(i, f"q{i:04d} zz") for i in range(300)]
+    b = [(i, f"camp zy{i % 7} {'x' * (i % 50)}w{i}") for i in range(1500)]
+    found: dict = {}
+    run = lambda: [found.setdefault(x.i, []).append((x.rank, x.j)) for x in matching.most_alike(spark.createDataFrame(a, "i int, n string"), "i", "n", spark.createDataFrame(b, "j int, m string"), "j", "m").collect()]
+    joined = joined_rows(spark, run)
+    threes = lambda t: {f"  {w} "[i : i + 3] for w in t.split() for i in range(len(w) + 1)}
+    for i, n in a[:20]:
+        x = threes(n)
+        scored = sorted((-len(x & threes(m)) / len(x | threes(m)), j) for j, m in b if x & threes(m))[:5]
+        assert len(scored) == 5 and sorted(found[i]) == [(k + 1, j) for k, (_, j) in enumerate(scored)], (i, n)
+    assert max(joined) < 0.1 * len(a) * len(b), joined
+
+
+def test_long_chains_of_candidates(spark):
+    """Each candidate shares its domain with the one before and its name with the one after; some share with many. Decided as a loop does."""
+    r = random.Random(11)
+    chain = [(i, i, f"n{(i + 1) // 2}", f"d{i // 2}") for i in range(1500)]
+    crowd = [(i, i, f"m{r.randrange(60)}", r.choice([None, f"e{r.randrange(60)}"])) for i in range(1500, 1900)]
+    rows = chain + crowd
+    queue = spark.createDataFrame(rows, "id int, seq int, name string, domain string").repartition(4)
+    tables = []
+    keep = lambda df: tables.append(1) or written(df)
+    found = {x.id: (x.kind, x.matched) for x in matching.discover(queue, queue.limit(0).drop("seq"), keep=keep).collect()}
+    names, domains, want = {}, {}, {}
+    for i, _, n, d in rows:
+        by = min((t for t in (names.get(n), domains.get(d) if d else None) if t is not None), default=None)
+        want[i] = ("new", None) if by is None else ("exact-duplicate", by)
+        if by is None:
+            names[n] = i
+            if d:
+                domains[d] = i
+    assert found == want and len(tables) < 120
+
+
+def test_distinct_items_of_a_large_page(spark):
+    r = random.Random(13)
+    words = ["red", "blue", "camp", "club", "art", "chess", "robot", "swim", "dance", "drum"]
+    rows = [("p", i, " ".join(r.choice(words) for _ in range(r.randrange(1, 4)))) for i in range(400)] + [("q", i, n) for i, n in enumerate([None, "", "a", "a", "red camp", "red camps", None])]
+    grams = lambda t: {t[i : i + 2] for i in range(len(t) - 1)} if t else set()
+    kept: list = []
+    for s, i, n in rows:
+        g = grams(n)
+        if not any(k[0] == s and g and k[2] and 2 * len(g & k[2]) / (len(g) + len(k[2])) >= 0.75 for k in kept):
+            kept.append((s, i, g))
+    found = folds.distinct_items(spark.createDataFrame(rows, "source string, item int, name string").repartition(3)).collect()
+    assert sorted((x.source, x.item) for x in found) == sorted((s, i) for s, i, _ in kept)

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trellis.functions.text import bigrams, dice, safe_url, stripped_name
+from trellis.functions.text import safe_url, stripped_name
 from trellis.functions.values import half_up
+from trellis.operators.keep import written
+from trellis.operators.matching import near_sets
 
 _LOCATOR = r"^chars:(\d+)-(\d+)$"
 
@@ -89,14 +91,26 @@ def last_values(rows: DataFrame, keys: list[str], field: str, value: str, seq: s
     return rows.groupBy(*keys).agg(*last)
 
 
-def distinct_items(rows: DataFrame, source: str = "source", order: str = "item", name: str = "name", least: float = 0.75) -> DataFrame:
-    """The rows whose name isn't like that of a row before that stayed, in order, for each source."""
-    item = F.struct(F.col(order).alias("o"), bigrams(stripped_name(name)).alias("g"))
-    packed = rows.groupBy(source).agg(F.sort_array(F.collect_list(item)).alias("x_"))
-    kind = packed.schema["x_"].dataType
-    kept = F.aggregate("x_", F.array().cast(kind), lambda done, x: F.when(F.exists(done, lambda k: dice(k["g"], x["g"]) >= least), done).otherwise(F.concat(done, F.array(x))))
-    stays = packed.select(F.col(source).alias("s_"), F.explode(kept).alias("k_"))
-    return rows.join(stays, F.col(source).eqNullSafe(F.col("s_")) & (F.col(order) == F.col("k_.o")), "left_semi")
+def distinct_items(rows: DataFrame, source: str = "source", order: str = "item", name: str = "name", least: float = 0.75, keep=written) -> DataFrame:
+    """The rows whose name isn't like that of a row before that stayed, in order, for each source.
+
+    (source, order) tells a row. Links between near names of a source are found by a join, and in rounds every name that no undecided
+    one before it is linked with stays, and what is linked with it goes. A page of many names is no array and no task of its own. Names without
+    bigrams are like none. ``keep`` cuts the lineage between rounds."""
+    # names that are equal go but for the first, whether that stays or not: what it goes for is as like them
+    named = rows.select(F.struct(F.col(source).alias("s")).alias("s_"), F.col(order).alias("o_"), stripped_name(name).alias("name_")).where(F.length("name_") >= 2)
+    first = keep(named.groupBy("s_", "name_").agg(F.min("o_").alias("o_")))
+    names = first.select("s_", "name_")
+    met = near_sets(names, names, least, keep=keep).where("x_ <> y_")
+    of = lambda n: first.toDF("s_", f"{n}_", f"{n}o")
+    links = keep(met.join(of("x"), ["s_", "x_"]).join(of("y"), ["s_", "y_"]).where("xo < yo").select("s_", "xo", "yo"))
+    gone = named.join(first.withColumnRenamed("o_", "f_"), ["s_", "name_"]).where("o_ > f_").select("s_", "o_")
+    while not links.isEmpty():
+        waits = links.select("s_", F.col("yo").alias("xo")).distinct()
+        lost = keep(links.join(waits, ["s_", "xo"], "left_anti").select("s_", "yo").distinct())
+        gone = gone.unionByName(lost.withColumnRenamed("yo", "o_"))
+        links = keep(links.join(lost, ["s_", "yo"], "left_anti").join(lost.withColumnRenamed("yo", "xo"), ["s_", "xo"], "left_anti").select("s_", "xo", "yo"))
+    return rows.join(gone, F.struct(F.col(source).alias("s")).eqNullSafe(F.col("s_")) & (F.col(order) == F.col("o_")), "left_anti")
 
 
 def grounded(value: Column, excerpt: Column, locator: Column) -> Column:
