@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from trellis.operators import scans
+from trellis.operators import folds, ranking, scans
 from trellis.operators.slugs import unique_slugs
 
 
@@ -87,3 +87,43 @@ def test_one_slug_of_all_rows(many):
     rows = [(i, s) for i, (_, s) in enumerate(rows)]
     taken = [f"camp-{i}" for i in range(2, 900, 2)]
     assert slugs_of(many, rows, taken) == loop(rows, taken)
+
+
+def numbers_of_the_loop(rows):
+    """rows: (seq, item, place) of one source."""
+    base, most, at, out = 0, -1, -1, {}
+    for seq, item, place in sorted(rows):
+        i, p = item or 0, -1 if place is None else place
+        anew = i < most and p >= at
+        if anew:
+            base, most = base + most + 1, -1
+        most, at = max(most, i), max(at, p)
+        out[seq] = (base + i, anew)
+    return out
+
+
+def test_item_numbers_of_one_long_source(many):
+    r = random.Random(2)
+    place, sources = 0, {"long": [], "other": [], None: []}
+    for seq in range(900):
+        place += r.choice([-3, 0, 1, 5])
+        s = "long" if r.random() < 0.8 else r.choice(["other", None])
+        sources[s].append((seq, r.choice([None, 0, 1, 2, 3, 4]), place if r.random() < 0.8 else None))
+    rows = [(s, seq, i, f"chars:{max(0, p)}-{max(0, p) + 4}" if p is not None else None) for s, mine in sources.items() for seq, i, p in mine]
+    found = folds.global_items(many.createDataFrame(rows, "source string, seq int, item int, locator string").repartition(3)).collect()
+    assert len(found) == len(rows)
+    for s, mine in sources.items():
+        got = {x.seq: (x.global_item, x.boundary) for x in found if x.source == s}
+        assert got == numbers_of_the_loop([(seq, i, None if p is None else max(0, p)) for seq, i, p in mine]), s
+
+
+def test_deep_pages_read_their_ranges(many):
+    r = random.Random(3)
+    rows = [(i, r.randrange(50)) for i in range(3000)]
+    df = many.createDataFrame(rows, "k int, v int").repartition(5)
+    pages = ranking.in_pages(df, [F.desc("v"), F.asc("k")])
+    want = sorted(rows, key=lambda x: (-x[1], x[0]))
+    for limit, offset in ((10, 0), (10, 2995), (25, 1500), (3000, 0), (5, 4000), (600, 700)):
+        assert [(x.k, x.v) for x in pages.page(limit, offset).collect()] == want[offset : offset + limit]
+    assert len(pages.counts) > 3 and len(pages.ranges(10, 1700)[0]) <= 2
+    assert ranking.in_pages(df.limit(0), [F.asc("k")]).page(5).count() == 0

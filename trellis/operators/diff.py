@@ -54,22 +54,34 @@ def relation_change(current: Column, candidate: Column) -> Column:
     additive: there was something, all of it stays, there is more, and some of it is new. An item
     without a key (null) counts as changed and never as additive."""
     broken = F.exists(current, lambda k: k.isNull()) | F.exists(candidate, lambda k: k.isNull())
-    # the nth of equal keys gets the number n, which makes multisets sets; sorted, equal keys lie together
-    numbered = lambda keys: let(F.array_sort(keys), lambda s: F.transform(s, lambda k, i: F.concat_ws("#", (i + 2 - F.array_position(s, k)).cast("string"), k)))
-    both = F.array(numbered(candidate), numbered(current))
-    lack = let(both, lambda b: F.struct(F.size(F.array_except(b[0], b[1])).alias("added"), F.size(F.array_except(b[1], b[0])).alias("removed")))
-    return let(lack, lambda x: _relation(current, candidate, broken, x["added"], x["removed"]))
+    # both in one sorted array, where equal keys lie together, gone through once with a state of fixed size
+    of = lambda keys, side: F.transform(F.filter(keys, lambda k: k.isNotNull()), lambda k: F.struct(k.alias("k"), F.lit(side).alias("side")))
+    none, no = F.lit(0), F.lit(False)
+    start = F.struct(F.lit(None).cast("string").alias("k"), none.alias("a"), none.alias("b"), none.alias("added"), none.alias("removed"), no.alias("novel"))
 
+    def told(s: Column) -> dict[str, Column]:
+        """What the key before makes, once all of its items were seen."""
+        more = s["b"] - s["a"]
+        return {"added": s["added"] + F.greatest(more, none), "removed": s["removed"] + F.greatest(-more, none), "novel": s["novel"] | ((s["a"] == 0) & (s["b"] > 0))}
 
-def _relation(current: Column, candidate: Column, broken: Column, n_added: Column, n_removed: Column) -> Column:
-    novel = F.size(F.array_except(candidate, current)) > 0
-    additive = (F.size(current) > 0) & (n_removed == 0) & (F.size(candidate) > F.size(current)) & novel
-    changed = broken | (n_added > 0) | (n_removed > 0)
+    def step(s: Column, x: Column) -> Column:
+        mine, theirs, same = F.when(x["side"] == 0, 1).otherwise(0), F.when(x["side"] == 1, 1).otherwise(0), s["k"].eqNullSafe(x["k"])
+        past = {n: F.when(same, s[n]).otherwise(c).alias(n) for n, c in told(s).items()}
+        return F.struct(x["k"].alias("k"), (F.when(same, s["a"]).otherwise(0) + mine).alias("a"), (F.when(same, s["b"]).otherwise(0) + theirs).alias("b"), *past.values())
+
+    finish = lambda s: F.struct(*[c.alias(n) for n, c in told(s).items()])
+    made = F.aggregate(F.array_sort(F.concat(of(current, 0), of(candidate, 1))), start, step, finish)
+    return let(made, lambda x: _relation(current, candidate, broken, x))
+
+
+def _relation(current: Column, candidate: Column, broken: Column, x: Column) -> Column:
+    additive = (F.size(current) > 0) & (x["removed"] == 0) & (F.size(candidate) > F.size(current)) & x["novel"]
+    changed = broken | (x["added"] > 0) | (x["removed"] > 0)
     none = F.lit(0)
     return F.struct(
         F.coalesce(changed, F.lit(True)).alias("changed"),
-        F.when(broken, none).otherwise(n_added).alias("added"),
-        F.when(broken, none).otherwise(n_removed).alias("removed"),
+        F.when(broken, none).otherwise(x["added"]).alias("added"),
+        F.when(broken, none).otherwise(x["removed"]).alias("removed"),
         F.coalesce(additive & ~broken, F.lit(False)).alias("additive"),
     )
 

@@ -1,7 +1,7 @@
 """Operators whose result depends on the order of a source's rows.
 
-The state of such a fold goes from row to row, so one source's rows come together, sorted, in one
-array; what a page of a source yields is bounded by the page. The folds are array aggregates.
+The state of such a fold goes from row to row. Here it is taken apart into running values and rounds of joins, so that no
+source's rows have to come together in one array or task.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from trellis.functions.text import safe_url, stripped_name
 from trellis.functions.values import half_up
 from trellis.operators.keep import written
 from trellis.operators.matching import near_sets
+from trellis.operators.scans import MAX, SUM, carried, in_ranges, running, same_keys
 
 _LOCATOR = r"^chars:(\d+)-(\d+)$"
 
@@ -22,31 +23,43 @@ def locator_start(locator: Column) -> Column:
     return F.regexp_extract(locator, _LOCATOR, 1).try_cast("int")
 
 
-def global_items(rows: DataFrame, source: str = "source", seq: str = "seq", index: str = "item", locator: str = "locator") -> DataFrame:
+def global_items(rows: DataFrame, source: str = "source", seq: str = "seq", index: str = "item", locator: str = "locator", keep=written) -> DataFrame:
     """``rows`` with global_item: item numbers that go on where a source's numbering starts anew.
 
     A number that falls while the place in the page doesn't means a new chunk: its numbers are put
     after all those before. A missing number is 0, a missing place -1. boundary: the row began a chunk.
-    (source, seq) tells a row."""
-    item = F.struct(F.col(seq).alias("seq"), F.coalesce(index, F.lit(0)).alias("i"), F.coalesce(locator_start(F.col(locator)), F.lit(-1)).alias("at"))
-    packed = rows.groupBy(source).agg(F.sort_array(F.collect_list(item)).alias("x_"))
-    kind = f"array<struct<seq:{dict(rows.dtypes)[seq]},item:int,boundary:boolean>>"
-
-    def step(s: Column, x: Column) -> Column:
-        anew = (x["i"] < s["most"]) & (x["at"] >= s["at"])
-        base = F.when(anew, s["base"] + s["most"] + 1).otherwise(s["base"])
-        put = F.struct(x["seq"].alias("seq"), (base + x["i"]).alias("item"), anew.alias("boundary"))
-        return F.struct(
-            base.cast("int").alias("base"),
-            F.greatest(F.when(anew, F.lit(-1)).otherwise(s["most"]), x["i"]).cast("int").alias("most"),
-            F.greatest(s["at"], x["at"]).cast("int").alias("at"),
-            F.concat(s["out"], F.array(put)).cast(kind).alias("out"),
-        )
-
-    start = F.struct(F.lit(0).alias("base"), F.lit(-1).alias("most"), F.lit(-1).alias("at"), F.array().cast(kind).alias("out"))
-    placed = packed.select(F.col(source).alias("s_"), F.explode(F.aggregate("x_", start, step)["out"]).alias("y_"))
-    out = rows.join(placed, F.col(source).eqNullSafe(F.col("s_")) & (F.col(seq) == F.col("y_.seq")))
-    return out.select(*rows.columns, F.col("y_.item").alias("global_item"), F.col("y_.boundary").alias("boundary"))
+    (source, seq) tells a row.
+
+    Whether the place falls is a matter of the largest so far. Where it doesn't, the largest number so far is from then on the row's own, whether a
+    chunk begins or not; so that is the largest since the last such row, and the numbers before a chunk add up. All are running values, over ranges:
+    a source of any length is neither an array nor a task."""
+    order, own = [F.col(seq)], W.partitionBy("part_", source).orderBy(seq)
+    ready = rows.withColumns({"i_": F.coalesce(F.col(index), F.lit(0)).cast("long"), "at_": F.coalesce(locator_start(F.col(locator)), F.lit(-1))})
+    dealt = in_ranges(ready, [source], order, keep)
+    led = running(dealt, [source], order, {"lead_": (MAX, F.col("at_"))}, before=True)
+    led = keep(led.withColumn("head_", F.col("at_") >= F.coalesce("lead_", F.lit(-1))))
+    # within a range: the largest number since the last head, the head's own counting
+    led = led.withColumn("since_", F.count_if("head_").over(own.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    held = F.max("i_").over(W.partitionBy("part_", source, "since_").orderBy(seq).rowsBetween(W.unboundedPreceding, W.currentRow))
+    led = keep(led.withColumn("held_", held))
+    # at a range's end: that of its last head or, where it has none, also what came before
+    last = F.max_by(F.struct(F.col("since_"), F.col("held_")), F.col(seq)).alias("last_")
+
+    def ends(w: W) -> dict[str, Column]:
+        heads = F.sum((F.col("last_.since_") > 0).cast("int"))
+        return {"run_": heads.over(w.rowsBetween(W.unboundedPreceding, W.currentRow))}
+
+    ended = carried(led, [source], [last], ends)
+    so_far = F.max("last_.held_").over(W.partitionBy(f"{source}_c", "run_").orderBy("part_c").rowsBetween(W.unboundedPreceding, W.currentRow))
+    into = ended.withColumn("into_", so_far).withColumn("into_", F.lag("into_").over(W.partitionBy(f"{source}_c").orderBy("part_c"))).drop("last_", "run_")
+    # a range each at most, as in running()
+    led = led.join(F.broadcast(into), same_keys([source]), "left").drop("part_c", f"{source}_c")
+    whole = F.when(F.col("since_") == 0, F.greatest("held_", "into_")).otherwise(F.col("held_"))
+    most = F.coalesce(F.lag("whole_").over(own), F.col("into_"), F.lit(-1))
+    led = led.withColumn("whole_", whole).withColumn("most_", most).withColumn("boundary", F.col("head_") & (F.col("i_") < F.col("most_")))
+    led = keep(led.withColumn("over_", F.when(F.col("boundary"), F.col("most_") + 1).otherwise(0)))
+    out = running(led, [source], order, {"base_": (SUM, F.col("over_"))})
+    return out.select(*rows.columns, (F.col("base_") + F.col("i_")).cast("int").alias("global_item"), "boundary")
 
 
 def item_scalars(rows: DataFrame, fields: list[str]) -> DataFrame:

@@ -2,16 +2,54 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trellis.operators.keep import written
+from trellis.operators.scans import in_ranges
+
 
 def page(rows: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
-    """Rows offset to offset + limit of the order, which must end in a unique key. total() counts them all."""
+    """Rows offset to offset + limit of the order, which must end in a unique key. total() counts them all. One task takes that many
+    rows: for pages far from the first there is in_pages()."""
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
+@dataclass(frozen=True)
+class Pages:
+    """A table dealt over ranges of an order, with how many rows each has: any page reads the ranges that hold it, however deep it is."""
+
+    dealt: DataFrame
+    order: tuple[Column, ...]
+    counts: tuple[tuple[int, int], ...]
+
+    def ranges(self, limit: int, offset: int = 0) -> tuple[list[int], int]:
+        """The ranges that hold the rows, and how many rows of those come before them."""
+        found, before, skipped = [], 0, 0
+        for part, n in self.counts:
+            if before + n <= offset:
+                skipped += n
+            elif before < offset + limit:
+                found.append(part)
+            before += n
+        return found, offset - skipped
+
+    def page(self, limit: int, offset: int = 0) -> DataFrame:
+        parts, skip = self.ranges(limit, offset)
+        return self.dealt.where(F.col("part_").isin(parts)).drop("part_").orderBy(*self.order).offset(skip).limit(limit)
+
+
+def in_pages(rows: DataFrame, order: list[Column], keep=written) -> Pages:
+    """Deals ``rows`` once for many pages. The order must end in a unique key; there are as many ranges as a shuffle has partitions, and only their
+    counts come to the driver."""
+    dealt = in_ranges(rows, [], order, keep)
+    counts = dealt.groupBy("part_").agg(F.count(F.lit(1)).alias("n")).collect()
+    return Pages(dealt, tuple(order), tuple(sorted((r.part_, r.n) for r in counts)))
+
+
 def total(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("total"))
 

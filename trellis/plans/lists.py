@@ -43,6 +43,12 @@ def t01_page(t: Tables) -> DataFrame:
     return ranking.page(t.orders.select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")], 25, 50)
 
 
+@query("select l_orderkey, l_linenumber, l_extendedprice from lineitem order by l_extendedprice desc, l_orderkey, l_linenumber limit 40 offset 5000")
+def t01_deep_page(t: Tables) -> DataFrame:
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return ranking.in_pages(rows, [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber")]).page(40, 5000)
+
+
 @query("select count(*) as total from orders")
 def t01_total(t: Tables) -> DataFrame:
     return ranking.total(t.orders)
