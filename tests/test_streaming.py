@@ -1,12 +1,15 @@
-"""Streams that stop and start again: the same rows as of one run."""
+"""What goes on where it stopped, streams and roll-ups: the same rows as of one run."""
 
 from __future__ import annotations
 
+import random
 import tempfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from trellis.operators import trust
+from trellis.operators.rollups import RollUp
 from trellis.streaming import metrics as stream
 from trellis.streaming import snapshots
 from trellis.streaming.deliveries import Deliveries
@@ -93,3 +96,29 @@ def test_one_attempt_finishes_a_batch(spark):
     assert table.finish(second) and not table.finish(first)
     table.deliver(batch, 7)
     assert [tuple(r) for r in table.rows().collect()] == [(1, "a", 7)] and table.reconcile() == 1
+
+
+def test_a_roll_up_after_each_batch_is_that_of_all_events(spark):
+    base, r, every = tempfile.mkdtemp(prefix="spark-"), random.Random(4), []
+    schema = "camp_id long, claim_id string, requirement string, kind string, event_id long, state string, t string"
+    derive = lambda as_of: lambda subjects, events: trust.rollup_of_events(subjects, events, as_of)
+    out = "camp_id long, state string, n long, met long, confidence string, due timestamp"
+    for batch in range(10):
+        as_of = f"2024-{batch + 1:02d}-28 00:00:00"
+        camps = [r.randrange(1, 60) for _ in range(12)]
+        rows = []
+        for camp in camps if batch != 5 else []:  # one batch has no events
+            for field in r.sample(trust.CAMP_FIELDS, r.choice([2, 8])):
+                rows.append((camp, f"{camp}.{field}", field, r.choice(list(trust.VALID_DAYS)), len(every) + len(rows), r.choice(["verified", "verified", "disputed", "assumed"]), f"2024-{batch + 1:02d}-{r.randrange(1, 28):02d} 00:00:00"))
+        kinds = {c: k for _, c, _, k, *_ in [*rows[::-1], *every[::-1]]}
+        rows = [(a, c, q, kinds[c], *rest) for a, c, q, _, *rest in rows]
+        every += rows
+        of = lambda x: spark.createDataFrame(x, schema).withColumn("at", F.col("t").cast("timestamp")).drop("t")
+        kept = RollUp(spark, f"file://{base}/r", "camp_id", out, derive(as_of), "due", 16)
+        before = kept.versions()
+        written = kept.add(of(rows), batch, as_of)
+        want = derive(as_of)(of(every).select("camp_id").distinct(), of(every)).select(*kept.rows().columns)
+        assert sorted(map(str, kept.rows().collect())) == sorted(map(str, want.collect())), batch
+        assert all(kept.versions()[b] == v for b, v in before.items() if b not in written)
+        assert kept.add(of(rows), batch, as_of) == []
+    assert len(written) < 16

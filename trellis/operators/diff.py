@@ -71,6 +71,11 @@ def relation_change(current: Column, candidate: Column) -> Column:
 
     finish = lambda s: F.struct(*[c.alias(n) for n, c in told(s).items()])
     made = F.aggregate(F.array_sort(F.concat(of(current, 0), of(candidate, 1))), start, step, finish)
+    # where no key repeats, multisets are sets
+    lacks = lambda a, b: F.size(F.array_except(a, b))
+    sets = F.struct(lacks(candidate, current).alias("added"), lacks(current, candidate).alias("removed"), (lacks(candidate, current) > 0).alias("novel"))
+    once = lambda keys: F.size(F.array_distinct(keys)) == F.size(keys)
+    made = F.when(once(current) & once(candidate), sets).otherwise(made)
     return let(made, lambda x: _relation(current, candidate, broken, x))
 
 

@@ -77,6 +77,17 @@ def camp_rollup(camps: DataFrame, claims: DataFrame, sessions: DataFrame, key: s
     return rolled_up(every, [key]).withColumn("confidence", data_confidence(F.col("state")))
 
 
+def rollup_of_events(subjects: DataFrame, events: DataFrame, as_of: str, key: str = "camp_id") -> DataFrame:
+    """subjects: key; events: key, claim_id, requirement, kind, event_id, state, at. As camp_rollup() of their claims, with due: the day from which on
+    a verified claim is stale, the first of the subject's; null if none will be. For RollUp, which keeps it up to date."""
+    claims = events.groupBy("claim_id").agg(F.min(F.struct(key, "requirement", "kind")).alias("c")).select("claim_id", "c.*")
+    states = claim_states(claims, events.select("claim_id", "event_id", "state", "at"), as_of)
+    days = F.coalesce(*[F.when(F.col("kind") == kind, n) for kind, n in VALID_DAYS.items()])
+    due = states.where("state = 'verified'").groupBy(key).agg(F.min(F.timestamp_seconds(F.unix_seconds("since") + days * 86_400)).alias("due"))
+    none = states.limit(0).select(key, "state")
+    return camp_rollup(subjects, states.select(key, "requirement", "state"), none, key).join(due, key, "left")
+
+
 def session_rollup(sessions: DataFrame, own: DataFrame, camp: DataFrame, inherits: dict[str, str], attributes: list[str]) -> DataFrame:
     """sessions: camp_id, session_id; own: session_id, requirement, state; camp: camp_id, requirement, state. A session's
     state from its attributes; those in ``inherits`` (attribute -> the camp's field) are the camp's

@@ -7,7 +7,6 @@ stream died between the two steps, counts once. Folders that no manifest names a
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -16,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trellis.operators import manifests
+
 
 @dataclass(frozen=True)
 class Deliveries:
@@ -26,17 +27,9 @@ class Deliveries:
     key: tuple[str, ...]
     schema: str
 
-    def _fs(self, at: str):
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{at}")
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
-
-    def _names(self, at: str) -> list[str]:
-        fs, folder = self._fs(at)
-        return sorted(f.getPath().getName() for f in fs.listStatus(folder)) if fs.exists(folder) else []
-
     def manifests(self) -> list[dict]:
         """Of each finished batch: batch, folder, inserted, ignored. As many as batches, a line each."""
-        if not any(n.endswith(".json") for n in self._names("manifests")):
+        if not any(n.endswith(".json") for n in manifests.names(self.spark, f"{self.path}/manifests")):
             return []
         rows = self.spark.read.schema("batch long, folder string, inserted long, ignored long").json(f"{self.path}/manifests/*.json")
         return sorted((r.asDict() for r in rows.collect()), key=lambda m: m["batch"])
@@ -60,24 +53,14 @@ class Deliveries:
 
     def finish(self, staged: dict) -> bool:
         """Makes a staged batch part of the table; False if another attempt has done that."""
-        name = f"manifests/{staged['batch']:012d}.json"
-        fs, at = self._fs(name)
-        made, temporary = self._fs(f"manifests/_{uuid.uuid4().hex}")
-        out = made.create(temporary, False)
-        out.write(bytearray(json.dumps(staged).encode()))
-        out.close()
-        done = not fs.exists(at) and fs.rename(temporary, at)
-        if not done:
-            made.delete(temporary, False)
-        return done
+        return manifests.put_once(self.spark, f"{self.path}/manifests/{staged['batch']:012d}.json", staged)
 
     def reconcile(self) -> int:
         """Removes what was staged and never finished; how many folders there were. Only while no stream delivers."""
         kept = {m["folder"] for m in self.manifests()}
-        gone = [n for n in self._names("staged") if n not in kept]
+        gone = [n for n in manifests.names(self.spark, f"{self.path}/staged") if n not in kept]
         for n in gone:
-            fs, at = self._fs(f"staged/{n}")
-            fs.delete(at, True)
+            manifests.remove(self.spark, f"{self.path}/staged/{n}")
         return len(gone)
 
     def deliver(self, batch: DataFrame, number: int, between: Callable[[dict], None] = lambda staged: None) -> None:
