@@ -191,17 +191,21 @@ def backfill(camps: DataFrame, attestations: DataFrame, known: DataFrame, fields
 #: States that a registration may have.
 REGISTRATION = ("OPEN", "FULL", "WAITLIST", "CLOSED", "COMING_SOON", "UNKNOWN")
 _REVIEW = "struct<id:string,actor:string,at:timestamp,state:string>"
+#: What the ledger is told of where an observation comes from, and how much hangs on it.
+AUTHORITY, PRODUCT_AREA, SUBJECT, LOCATOR, IMPACT = "publisher_owned_page", "public-directory", "camp", "html:field=", "medium"
 
 
 def observations(camps: DataFrame, proposals: DataFrame, generated_at: str, product: str = "directory") -> DataFrame:
     """What the ledger is told of two fields, the state of registration and the sessions: as they stand, and as proposed.
 
-    camps: camp_id, url, status, n_schedules, verified_at, crawled_at, field_sources (as in backfill());
-    proposals: id, camp_id, url, status, created, reviewed_at, reviewed_by, model, changes (map field ->
-    struct(new, n_items, sourceUrl, excerpt, confidence); n_items: of sessions, null if they aren't as
-    sessions must be). claim_id, camp_id, field, value (of sessions their number), state, source_ref,
+    camps: camp_id, slug, name, data_confidence, url, status, n_schedules, verified_at, crawled_at, field_sources (as in
+    backfill()); proposals: id, camp_id, url, status, created, reviewed_at, reviewed_by, model,
+    overall_confidence, changes (map field -> struct(old, new, mode, n_items, sourceUrl, excerpt, confidence); n_items: of
+    sessions, null if they aren't as sessions must be). claim_id, camp_id, field, value (of sessions their number), state, source_ref,
     observed_at, extracted_at, extractor, excerpt, confidence, review, claim_type, created, updated, actor,
-    collected_by, method, support (moderate or none: whether a review or a confidence stands behind it).
+    collected_by, method, metadata (JSON: of the subject and its field's source, or of the proposal), support (moderate or none: whether a
+    review or a confidence stands behind it), locator, impact_level and, of the state of registration only, authority: the
+    class of its source, what that holds for (product_area, subject_type, subject_id, field), and who says so.
 
     A field that someone approved is verified; an unknown status is unknown; the rest is proposed. Sessions
     that there are none of, and nobody approved, aren't told, nor are proposals with a value that can't be."""
@@ -221,6 +225,7 @@ def observations(camps: DataFrame, proposals: DataFrame, generated_at: str, prod
             F.coalesce(s["sourceUrl"], "url").alias("source_ref"), seen.alias("observed_at"), F.coalesce(s["approvedAt"], now).alias("extracted_at"), F.when(s.isNotNull(), "field-review").otherwise(product).alias("extractor"), s["excerpt"].alias("excerpt"),
             F.lit(None).cast("double").alias("confidence"), review.alias("review"), F.lit(kind).alias("claim_type"), seen.alias("created"), F.coalesce("verified_at", s["approvedAt"], now).alias("updated"), F.when(s.isNotNull(), "admin").otherwise("crawl").alias("actor"),
             F.when(s.isNotNull(), "field-review").otherwise(product).alias("collected_by"), F.when(s.isNotNull(), "field-source-approval").otherwise("candidate-resolution").alias("method"),
+            F.to_json(F.struct("slug", "name", "data_confidence", s.alias("field_source"))).alias("metadata"),
         ))
         d = F.try_element_at("changes", F.lit(field))
         fine = d["n_items"].isNotNull() if repeated else d["new"].isin(*REGISTRATION)
@@ -233,11 +238,15 @@ def observations(camps: DataFrame, proposals: DataFrame, generated_at: str, prod
             F.coalesce(d["sourceUrl"], "url").alias("source_ref"), F.col("created").alias("observed_at"), F.col("created").alias("extracted_at"), F.col("model").alias("extractor"), d["excerpt"].alias("excerpt"),
             d["confidence"].alias("confidence"), review.alias("review"), F.lit(f"{kind}-candidate").alias("claim_type"), "created", F.coalesce("reviewed_at", now).alias("updated"), F.coalesce("reviewed_by", F.lit("crawl")).alias("actor"),
             F.col("model").alias("collected_by"), F.when(F.col("status") == "PENDING", "crawl-proposal").otherwise("field-review").alias("method"),
+            F.to_json(F.struct(F.col("id").alias("proposal_id"), F.col("status").alias("proposal_status"), d["old"].alias("old_value"), d["mode"].alias("mode"), "overall_confidence", F.col("model").alias("extraction_model"))).alias("metadata"),
         ))
     every = parts[0]
     for more in parts[1:]:
         every = every.unionByName(more)
-    return every.withColumn("support", F.when(F.col("review").isNotNull() | F.col("confidence").isNotNull(), "moderate").otherwise("none"))
+    scope = F.struct(F.lit(PRODUCT_AREA).alias("product_area"), F.lit(SUBJECT).alias("subject_type"), F.col("camp_id").cast("string").alias("subject_id"), "field")
+    authority = F.when(F.col("field") == "registrationStatus", F.struct(F.lit(AUTHORITY).alias("class"), scope.alias("scope"), F.col("extractor").alias("declared_by")))
+    support = F.when(F.col("review").isNotNull() | F.col("confidence").isNotNull(), "moderate").otherwise("none")
+    return every.withColumns({"support": support, "locator": F.concat(F.lit(LOCATOR), "field"), "impact_level": F.lit(IMPACT), "authority": authority})
 
 
 def export(subjects: DataFrame, claims: DataFrame, evidence: DataFrame, events: DataFrame) -> DataFrame:

@@ -456,33 +456,51 @@ def n28_by_host(t: Tables) -> DataFrame:
 
 
 @query("""
-with c as (select o_orderkey as camp_id, case when o_orderkey % 4 = 0 then 'UNKNOWN' else 'OPEN' end as status, (o_orderkey % 3)::int as n, o_orderkey % 5 = 0 as ok, o_orderkey % 5 < 2 as src from orders),
-p as (select l_orderkey as camp_id, l_linenumber as id, case l_returnflag when 'R' then 'REJECTED' when 'A' then 'APPROVED' else 'PENDING' end as status, case when l_quantity < 10 then 'NONSENSE' else 'FULL' end as new, case when l_quantity > 30 then l_linenumber end as n, l_discount as c
-      from (select l_orderkey, l_linenumber, min(l_returnflag) as l_returnflag, min(l_quantity) as l_quantity, min(l_discount) as l_discount from lineitem group by 1, 2))
-select 'directory.' || camp_id || '.registrationStatus.current' as claim_id, 'registrationStatus' as field, status as value, case when ok then 'verified' when status = 'UNKNOWN' then 'unknown' else 'proposed' end as state, case when src then 'field-source-approval' else 'candidate-resolution' end as method, case when ok then 'moderate' else 'none' end as support from c
-union all select 'directory.' || camp_id || '.schedules.current', 'schedules', n::varchar, case when ok then 'verified' else 'proposed' end, case when src then 'field-source-approval' else 'candidate-resolution' end, case when ok then 'moderate' else 'none' end from c where n > 0 or ok
-union all select 'directory.' || camp_id || '.registrationStatus.' || id, 'registrationStatus', new, case status when 'APPROVED' then 'verified' when 'REJECTED' then 'rejected' else 'proposed' end, case status when 'PENDING' then 'crawl-proposal' else 'field-review' end, 'moderate' from p where new <> 'NONSENSE'
-union all select 'directory.' || camp_id || '.schedules.' || id, 'schedules', n::varchar, case status when 'APPROVED' then 'verified' when 'REJECTED' then 'rejected' else 'proposed' end, case status when 'PENDING' then 'crawl-proposal' else 'field-review' end, 'moderate' from p where n is not null""")
+with c as (select o_orderkey as camp_id, case when o_orderkey % 4 = 0 then 'UNKNOWN' else 'OPEN' end as status, (o_orderkey % 3)::int as n, o_orderkey % 5 = 0 as ok, o_orderkey % 5 < 2 as src,
+      '{"slug":"s-' || o_orderkey || '","name":"' || o_orderpriority || '"' || case when o_orderkey % 7 > 0 then ',"data_confidence":"PLACEHOLDER"' else '' end || case when o_orderkey % 5 = 0 then ',"field_source":{"approvedAt":"2024-01-01T00:00:00.000Z","sourceUrl":"https://s","excerpt":"x"}'
+      when o_orderkey % 5 = 1 then ',"field_source":{"sourceUrl":"https://s","excerpt":"x"}' else '' end || '}' as about from orders),
+p as (select l_orderkey as camp_id, l_linenumber as id, case l_returnflag when 'R' then 'REJECTED' when 'A' then 'APPROVED' else 'PENDING' end as status, case when l_quantity < 10 then 'NONSENSE' else 'FULL' end as new, case when l_quantity > 30 then l_linenumber end as n
+      from (select l_orderkey, l_linenumber, min(l_returnflag) as l_returnflag, min(l_quantity) as l_quantity from lineitem group by 1, 2)),
+q as (select *, '{"proposal_id":' || id || ',"proposal_status":"' || status || '","old_value":"OPEN","mode":"' || case when n is null then 'update' else 'populate' end || '","overall_confidence":0.5,"extraction_model":"m"}' as about from p),
+o as (select 'directory.' || camp_id || '.registrationStatus.current' as claim_id, camp_id, 'registrationStatus' as field, status as value, case when ok then 'verified' when status = 'UNKNOWN' then 'unknown' else 'proposed' end as state, case when src then 'field-source-approval' else 'candidate-resolution' end as method, case when ok then 'moderate' else 'none' end as support, about as metadata, case when src then 'field-review' else 'directory' end as who from c
+union all select 'directory.' || camp_id || '.schedules.current', camp_id, 'schedules', n::varchar, case when ok then 'verified' else 'proposed' end, case when src then 'field-source-approval' else 'candidate-resolution' end, case when ok then 'moderate' else 'none' end, about, null from c where n > 0 or ok
+union all select 'directory.' || camp_id || '.registrationStatus.' || id, camp_id, 'registrationStatus', new, case status when 'APPROVED' then 'verified' when 'REJECTED' then 'rejected' else 'proposed' end, case status when 'PENDING' then 'crawl-proposal' else 'field-review' end, 'moderate', about, 'm' from q where new <> 'NONSENSE'
+union all select 'directory.' || camp_id || '.schedules.' || id, camp_id, 'schedules', n::varchar, case status when 'APPROVED' then 'verified' when 'REJECTED' then 'rejected' else 'proposed' end, case status when 'PENDING' then 'crawl-proposal' else 'field-review' end, 'moderate', about, null from q where n is not null)
+select claim_id, field, value, state, method, support, metadata, 'html:field=' || field as locator, 'medium' as impact_level, case when who is not null then 'publisher_owned_page' end as authority_class, case when who is not null then 'public-directory' end as product_area,
+       case when who is not null then camp_id::varchar end as subject_id, who as declared_by from o""")
 def n30_observations(t: Tables) -> DataFrame:
-    """Two fields of each subject, as they stand and as proposed."""
+    """Two fields of each subject, as they stand and as proposed, with what their sources have the authority for."""
     k = F.col("o_orderkey")
     source = F.struct(F.when(k % 5 == 0, F.lit("2024-01-01").cast("timestamp")).alias("approvedAt"), F.lit("https://s").alias("sourceUrl"), F.lit("x").alias("excerpt"))
     sources = F.when(k % 5 < 2, F.create_map(F.lit("registrationStatus"), source, F.lit("schedules"), source))
-    camps = t.orders.select(k.alias("camp_id"), F.lit("https://c").alias("url"), F.when(k % 4 == 0, "UNKNOWN").otherwise("OPEN").alias("status"), (k % 3).cast("int").alias("n_schedules"), F.lit(None).cast("timestamp").alias("verified_at"), F.col("o_orderdate").cast("timestamp").alias("crawled_at"), sources.alias("field_sources"))
+    camps = t.orders.select(
+        k.alias("camp_id"), F.concat(F.lit("s-"), k.cast("string")).alias("slug"), F.col("o_orderpriority").alias("name"), F.when(k % 7 > 0, "PLACEHOLDER").alias("data_confidence"), F.lit("https://c").alias("url"), F.when(k % 4 == 0, "UNKNOWN").otherwise("OPEN").alias("status"),
+        (k % 3).cast("int").alias("n_schedules"), F.lit(None).cast("timestamp").alias("verified_at"), F.col("o_orderdate").cast("timestamp").alias("crawled_at"), sources.alias("field_sources"),
+    )
     lines = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_returnflag", "l_quantity", "l_discount")])
-    change = F.struct(F.when(F.col("l_quantity") < 10, "NONSENSE").otherwise("FULL").alias("new"), F.when(F.col("l_quantity") > 30, F.col("l_linenumber")).alias("n_items"), F.lit(None).cast("string").alias("sourceUrl"), F.lit("x").alias("excerpt"), F.col("l_discount").alias("confidence"))
+    some = F.col("l_quantity") > 30
+    change = F.struct(
+        F.lit("OPEN").alias("old"), F.when(F.col("l_quantity") < 10, "NONSENSE").otherwise("FULL").alias("new"), F.when(some, "populate").otherwise("update").alias("mode"), F.when(some, F.col("l_linenumber")).alias("n_items"), F.lit(None).cast("string").alias("sourceUrl"), F.lit("x").alias("excerpt"), F.col("l_discount").alias("confidence")
+    )
     proposals = lines.select(
         F.col("l_linenumber").alias("id"), F.col("l_orderkey").alias("camp_id"), F.lit("https://p").alias("url"), F.when(F.col("l_returnflag") == "R", "REJECTED").when(F.col("l_returnflag") == "A", "APPROVED").otherwise("PENDING").alias("status"), F.lit(AS_OF).cast("timestamp").alias("created"),
-        F.lit(None).cast("timestamp").alias("reviewed_at"), F.lit(None).cast("string").alias("reviewed_by"), F.lit("m").alias("model"), F.create_map(F.lit("registrationStatus"), change, F.lit("schedules"), change).alias("changes"),
+        F.lit(None).cast("timestamp").alias("reviewed_at"), F.lit(None).cast("string").alias("reviewed_by"), F.lit("m").alias("model"), F.lit(0.5).alias("overall_confidence"), F.create_map(F.lit("registrationStatus"), change, F.lit("schedules"), change).alias("changes"),
     )
-    return trust.observations(camps, proposals, AS_OF).select("claim_id", "field", "value", "state", "method", "support")
+    found = trust.observations(camps, proposals, AS_OF)
+    authority = [F.col("authority.class").alias("authority_class"), F.col("authority.scope.product_area").alias("product_area"), F.col("authority.scope.subject_id").alias("subject_id"), F.col("authority.declared_by").alias("declared_by")]
+    return found.select("claim_id", "field", "value", "state", "method", "support", "metadata", "locator", "impact_level", *authority)
 
 
 @query("""
-select o_orderkey as subject_id, '{"subject_id":' || o_orderkey || ',"claims":[' || coalesce((select string_agg('{"claim_id":' || l || ',"field":"line","state":"verified","evidence":[{"evidence_id":' || l || ',"method":"crawl","source_ref":"' || o_orderkey || '"}],"events":[]}', ',' order by l)
-  from (select distinct l_orderkey, l_orderkey * 10 + l_linenumber as l from lineitem) where l_orderkey = o_orderkey), '') || ']}' as bundle from orders""")
+with l as (select distinct l_orderkey, l_orderkey * 10 + l_linenumber as l from lineitem),
+e as (select l, '{"event_id":' || (l * 10 + 1) || ',"state":"proposed","at":"2024-01-0' || (l % 7 + 1) || '","actor":"crawl"}' || case when l % 3 = 0 then ',{"event_id":' || (l * 10 + 2) || ',"state":"verified","at":"2024-01-09","actor":"admin"}' else '' end as events from l where l % 5 > 0)
+select o_orderkey as subject_id, '{"subject_id":' || o_orderkey || ',"claims":[' || coalesce((select string_agg('{"claim_id":' || l || ',"field":"line","state":"verified","evidence":[{"evidence_id":' || l || ',"method":"crawl","source_ref":"' || o_orderkey || '"}],"events":[' || coalesce(events, '') || ']}', ',' order by l)
+  from l left join e using (l) where l_orderkey = o_orderkey), '') || ']}' as bundle from orders""")
 def n30_trust_export(t: Tables) -> DataFrame:
+    """Every claim of a subject with its evidence and its events, in order."""
     claims = t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("claim_id"), F.col("l_orderkey").alias("subject_id"), F.lit("line").alias("field"), F.lit("verified").alias("state")).distinct()
     evidence = claims.select(F.col("claim_id").alias("evidence_id"), "claim_id", F.lit("crawl").alias("method"), F.col("subject_id").cast("string").alias("source_ref"))
-    events = claims.limit(0).select(F.col("claim_id").alias("event_id"), "claim_id", "state", F.lit("").alias("at"), F.lit("").alias("actor"))
+    c = F.col("claim_id")
+    event = lambda n, state, at, actor: claims.select((c * 10 + n).alias("event_id"), "claim_id", F.lit(state).alias("state"), at.alias("at"), F.lit(actor).alias("actor")).where(c % 5 > 0)
+    events = event(1, "proposed", F.concat(F.lit("2024-01-0"), (c % 7 + 1).cast("string")), "crawl").unionByName(event(2, "verified", F.lit("2024-01-09"), "admin").where(c % 3 == 0))
     return trust.export(t.orders.select(F.col("o_orderkey").alias("subject_id")), claims, evidence, events)
