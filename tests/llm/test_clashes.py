@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.compare import DATA
 from tests.llm.helpers import documents, odd_texts, words
-from trellis.llm import bpe, hnsw, line_dedup, mixing, passages, secrets, simhash, topk, toxicity, url_filter
+from trellis.llm import bpe, hnsw, line_dedup, mixing, negatives, passages, pii, secrets, simhash, spans, topk, toxicity, url_filter, whitening
 
 LLM = Path(line_dedup.__file__).parent
-OWN = {"doc_id", "text", "source", "lang", "vec_id", "embedding", "page_id", "url"}
+OWN = {"doc_id", "text", "source", "lang", "vec_id", "embedding", "label", "page_id", "url"}
 
 
 def names(*modules) -> list[str]:
@@ -59,7 +59,7 @@ def test_those_that_return_their_own(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     for run, module in (
         (passages.shared_passages, passages), (mixing.mix, mixing), (simhash.near_duplicates, simhash), (lambda d: bpe.encode(d, path), bpe),
-        (lambda d: secrets.scan(d, F.col("source"), F.col("lang")), secrets), (lambda d: toxicity.score(d, toxicity.fit(d, d.select("doc_id", F.lit(1).alias("toxic")))).select("doc_id", "score"), toxicity),
+        (lambda d: secrets.scan(d, F.col("source"), F.col("lang")), secrets), (pii.scan, pii), (lambda d: pii.sanitise(d).select("doc_id", "text", "source", "lang"), spans), (lambda d: toxicity.score(d, toxicity.fit(d, d.select("doc_id", F.lit(1).alias("toxic")))).select("doc_id", "score"), toxicity),
     ):
         wide, _ = wider(df, module)
         assert rows(run(wide)) == rows(run(df)), module.__name__
@@ -79,6 +79,10 @@ def test_vectors_and_urls(spark):
     for run, module in ((topk.top_k, topk), (hnsw.nearest, hnsw)):
         wide, _ = wider(vectors, module)
         assert rows(run(wide, F.col("vec_id") % 10 == 0, 3)) == rows(run(vectors, F.col("vec_id") % 10 == 0, 3))
+    named = vectors.withColumn("label", (F.col("vec_id") % 3).cast("int"))
+    for run, module in ((lambda d: negatives.hard_negatives(d, F.col("vec_id") % 10 == 0, 3, 2), negatives), (lambda d: whitening.whiten(d, 2).select("vec_id", "component", "n", "deviation"), whitening)):
+        wide, _ = wider(named.withColumnRenamed("label", "other"), module) if module is whitening else wider(named, module)
+        assert rows(run(wide)) == rows(run(named)), module.__name__
     pages = spark.createDataFrame([(1, "http://a.net/x"), (2, None)], "page_id long, url string")
     listed = spark.createDataFrame([("a.net/x",)], "key string")
     wide, extra = wider(pages, url_filter)

@@ -195,11 +195,15 @@ def alike_links(heads: DataFrame, texts: DataFrame, alike: float = ALIKE) -> Dat
     it meets in a point, not against all."""
     flips = [0, *(1 << b for b in range(SHORT))]
     each = F.transform("prints", lambda p, i: F.struct(i.alias("i"), F.col("anchors")[i].alias("a"), p.alias("p")))
-    rows = spread(heads, heads.count() * PRINTS * len(flips), "id").select("id", F.explode(each).alias("e"))
-    ball = F.array(*[F.xxhash64("e.i", "e.a", F.col("e.p").bitwiseXOR(F.lit(m))) for m in flips])
-    moved = rows.select("id", F.explode(ball).alias("z"))
-    met = moved.groupBy("z").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
-    pairs = moved.hint("merge").join(met, "z").select("id", F.explode(F.array("lo", "hi")).alias("hub")).where("id <> hub")
+    rows = heads.select("id", F.explode(each).alias("e")).select("id", F.xxhash64("e.i", "e.a", "e.p").alias("own"), "e.*")
+    # texts with one print and anchor move alike, so they are one point until its hubs are known
+    points = rows.groupBy("own").agg(*[F.first(c).alias(c) for c in ("i", "a", "p")], F.min("id").alias("least"), F.max("id").alias("most"))
+    points = materialize(points, "alike-points")
+    ball = F.array(*[F.xxhash64("i", "a", F.col("p").bitwiseXOR(F.lit(m))) for m in flips])
+    moved = spread(points, points.count() * len(flips), "own").select("own", "least", "most", F.explode(ball).alias("z"))
+    met = moved.groupBy("z").agg(F.min("least").alias("lo"), F.max("most").alias("hi")).where("lo <> hi")
+    hubs = moved.select("own", "z").hint("merge").join(met, "z").select("own", F.explode(F.array("lo", "hi")).alias("hub")).distinct()
+    pairs = rows.select("id", "own").hint("merge").join(hubs, "own").where("id <> hub")
     pairs = materialize(pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "alike-pairs")
     let_go(heads.sparkSession)
     nodes = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
