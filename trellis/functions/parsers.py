@@ -125,12 +125,19 @@ def age_groups(raw: ColumnOrName) -> Column:
     return F.when(low == "all", every).when(low.isin(*NO_AGES), _none(AGE_GROUP)).otherwise(found)
 
 
+#: How a column's header names two grades and their ages, tried in this order.
+GRADES_IN_HEADER = (
+    r"(\d+)(?:st|nd|rd|th)-(\d+)(?:st|nd|rd|th)\s*grade.*?(?:ages?\s*)?(\d+)-(\d+)",
+    r"(\d+)(?:st|nd|rd|th)\s*and\s*(\d+)(?:st|nd|rd|th)\s*grade.*?(\d+)-(\d+)",
+)
+
+
 def _header_group(header: str) -> Column:
     """What a column's own name says about ages; null if nothing."""
     name = F.lower(F.lit(header))
     four = lambda *v: _age_group(F.lit(v[0]), *map(F.lit, v[1:]))
     found = F.when(name.contains("prek") | name.contains("pre-k"), four("PreK", 3, 4, -1, -1)).when(name.contains("kindergarten"), four("Kindergarten", 5, 6, 0, 0))
-    for pattern in (r"(\d+)(?:st|nd|rd|th)-(\d+)(?:st|nd|rd|th)\s*grade.*?(?:ages?\s*)?(\d+)-(\d+)", r"(\d+)(?:st|nd|rd|th)\s*and\s*(\d+)(?:st|nd|rd|th)\s*grade.*?(\d+)-(\d+)"):
+    for pattern in GRADES_IN_HEADER:
         a, b, c, d = (_group(name, pattern, i) for i in (1, 2, 3, 4))
         found = found.when(name.rlike(pattern), _age_group(F.concat(F.lit("Grades "), a, F.lit("-"), b), _int(c), _int(d), _int(a), _int(b)))
     return found
@@ -280,11 +287,14 @@ def minutes_of(clock: Column) -> Column:
     return hour * 60 + _int(_group(clock, r":(\d{2})", 1))
 
 
+#: Fixed value: a span of two times.
+TIME_SPAN = rf"(?i)({TIME})\s*(?:to|-|–|through)\s*({TIME})"
+
+
 def hours(raw: ColumnOrName) -> Column:
     """struct(startTime, endTime): the only span of times, the first where the cell says "full", else the longest."""
     raw = F.coalesce(_col(raw), F.lit(""))
-    pattern = rf"(?i)({TIME})\s*(?:to|-|–|through)\s*({TIME})"
-    each = lambda i: F.regexp_extract_all(raw, F.lit(pattern), F.lit(i))
+    each = lambda i: F.regexp_extract_all(raw, F.lit(TIME_SPAN), F.lit(i))
     spans = F.transform(F.arrays_zip(each(1).alias("a"), each(2).alias("b")), lambda x: F.struct(clock_time(x["a"]).alias("startTime"), clock_time(x["b"]).alias("endTime")))
     spans = F.filter(spans, lambda s: s["startTime"].isNotNull() & s["endTime"].isNotNull())
     length = lambda s: minutes_of(s["endTime"]) - minutes_of(s["startTime"])
@@ -356,6 +366,11 @@ def _day(year: Column, month: Column, day: Column) -> Column:
     return F.concat(year, F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), F.lpad(day.cast("string"), 2, "0"))
 
 
+#: Spans of days, with months by name (the second month and the year may be left out) and with slashes.
+NAMED_SPAN = r"(?:(\w+)\s+(\d{1,2}))\s*(?:to|-|–)\s*(?:(\w+)\s+)?(\d{1,2})(?:\s*,\s*(\d{4}))?"
+SLASHED_SPAN = r"(\d{1,2})/(\d{1,2})\s*-\s*(\d{1,2})/(\d{1,2})"
+
+
 def run_sessions(raw: ColumnOrName, times: Column) -> Column:
     """Sessions of a cell like "June 10-July 6, July 8-August 3", numbered; where there is none, of "6/1-8/1"."""
     raw = F.coalesce(_col(raw), F.lit(""))
@@ -365,11 +380,11 @@ def run_sessions(raw: ColumnOrName, times: Column) -> Column:
         found = [F.regexp_extract_all(raw, F.lit(pattern), F.lit(i)).alias(f"g{i}") for i in range(1, groups + 1)]
         return F.arrays_zip(*found)
 
-    named = all_of(r"(?:(\w+)\s+(\d{1,2}))\s*(?:to|-|–)\s*(?:(\w+)\s+)?(\d{1,2})(?:\s*,\s*(\d{4}))?", 5)
+    named = all_of(NAMED_SPAN, 5)
     empty = lambda c, other: F.coalesce(F.nullif(c, F.lit("")), other)
     spans = F.transform(named, lambda m: F.struct(_day(empty(m["g5"], year), _month(m["g1"]), m["g2"]).alias("a"), _day(empty(m["g5"], year), _month(empty(m["g3"], m["g1"])), m["g4"]).alias("b")))
     spans = F.filter(spans, lambda s: s["a"].isNotNull() & s["b"].isNotNull())
-    slashed = F.transform(all_of(r"(\d{1,2})/(\d{1,2})\s*-\s*(\d{1,2})/(\d{1,2})", 4), lambda m: F.struct(_day(year, m["g1"], m["g2"]).alias("a"), _day(year, m["g3"], m["g4"]).alias("b")))
+    slashed = F.transform(all_of(SLASHED_SPAN, 4), lambda m: F.struct(_day(year, m["g1"], m["g2"]).alias("a"), _day(year, m["g3"], m["g4"]).alias("b")))
     spans = F.when(F.size(spans) > 0, spans).otherwise(slashed)
     return F.transform(spans, lambda s, i: _session(F.concat(F.lit("Session "), (i + 1).cast("string")), s["a"], s["b"], times))
 
@@ -390,23 +405,27 @@ def registration_status(raw: ColumnOrName) -> Column:
     )
 
 
+#: A day with its year, one without, one with slashes; a time of day.
+DATED = r"(?i)(\w+)\s+(\d{1,2})(?:st|nd|rd|th)?,?\s*(\d{4})"
+UNDATED = r"(?i)(\w+)\s+(\d{1,2})(?:st|nd|rd|th)?"
+SLASHED = r"(\d{1,2})/(\d{1,2})(?:/(\d{2,4}))?"
+OPENING_TIME = r"(?i)(?:at\s+)?(\d{1,2}(?::\d{2})?\s*(?:a\.?m\.?|p\.?m\.?))"
+
+
 def registration_opening(raw: ColumnOrName, keep_year: bool = False) -> Column:
     """struct(date, time). A written-out date is taken for this season whatever its year, unless keep_year;
     one with slashes has its own."""
     cell = _trim(F.coalesce(_col(raw), F.lit("")))
     season = F.lit(YEAR)
-    dated = r"(?i)(\w+)\s+(\d{1,2})(?:st|nd|rd|th)?,?\s*(\d{4})"
-    undated = r"(?i)(\w+)\s+(\d{1,2})(?:st|nd|rd|th)?"
-    slashed = r"(\d{1,2})/(\d{1,2})(?:/(\d{2,4}))?"
-    year = _group(cell, dated, 3) if keep_year else season
-    short = _group(cell, slashed, 3)
+    year = _group(cell, DATED, 3) if keep_year else season
+    short = _group(cell, SLASHED, 3)
     slash_year = F.coalesce(F.when(F.length(short) == 2, F.concat(F.lit("20"), short)).otherwise(short), season)
     date = F.coalesce(
-        _day(year, _month(_group(cell, dated, 1)), _group(cell, dated, 2)),
-        _day(season, _month(_group(cell, undated, 1)), _group(cell, undated, 2)),
-        _day(slash_year, _group(cell, slashed, 1), _group(cell, slashed, 2)),
+        _day(year, _month(_group(cell, DATED, 1)), _group(cell, DATED, 2)),
+        _day(season, _month(_group(cell, UNDATED, 1)), _group(cell, UNDATED, 2)),
+        _day(slash_year, _group(cell, SLASHED, 1), _group(cell, SLASHED, 2)),
     )
-    time = clock_time(_group(cell, r"(?i)(?:at\s+)?(\d{1,2}(?::\d{2})?\s*(?:a\.?m\.?|p\.?m\.?))"), "0")
+    time = clock_time(_group(cell, OPENING_TIME), "0")
     return F.struct(date.alias("date"), time.alias("time"))
 
 
