@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from trellis.deploy import ship
 from trellis.llm.shared import discard, in_pieces, let_go, materialize
-from trellis.llm.vectors import dealt, pairs_to_best, rows_within, usable
+from trellis.llm.vectors import pairs_to_best, rows_within, usable
 
 SCALE = 256.0
 #: A pivot for so many rows, at most so many; the pivots, of bounded width together, go to every task.
