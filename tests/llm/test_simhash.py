@@ -141,6 +141,49 @@ def test_texts_alike_at_eight_of_ten_are_found(spark):
     assert found[0.95] == 1 and found[0.9] >= 0.95 and found[0.85] >= 0.9 and found[0.8] >= 0.75
 
 
+def in_a_crowd(pages: int, pairs: int, want: float) -> tuple[list, list]:
+    """Template pages, alike in 0.6 with each other, and among them pairs alike in ``want``."""
+    r = random.Random(pages)
+    template = words(150, 1)
+    page = lambda i: template + [f"p{i}x{j}" for j in range(50)]
+    texts, planted = [" ".join(page(i)) for i in range(pages)], []
+    for i in range(pairs):
+        base = page(pages + i)
+        near = base[:]
+        while True:
+            changed = near[:]
+            changed[r.randrange(150, 200)] = f"y{r.randrange(10**6)}"
+            a, b = shingle_set(" ".join(base)), shingle_set(" ".join(changed))
+            if len(a & b) < want * len(a | b):
+                break
+            near = changed
+        planted.append((len(texts), len(texts) + 1))
+        texts += [" ".join(base), " ".join(near)]
+    order = list(range(len(texts)))
+    r.shuffle(order)
+    at = {old: new for new, old in enumerate(order)}
+    return [texts[i] for i in order], [tuple(sorted((at[a], at[b]))) for a, b in planted]
+
+
+def test_pairs_in_a_crowd_are_found(spark):
+    """Among template pages a text meets thousands in a point; pairs alike beyond the template are still caught, and no page else."""
+    texts, pairs = in_a_crowd(3000, 60, 0.85)
+    kept = {r.doc_id for r in simhash.one_of_alike(documents(spark, texts)).select("doc_id").collect()}
+    caught = sum(b not in kept for _, b in pairs)
+    print(caught)
+    assert caught >= 57
+    assert set(range(len(texts))) - kept <= {b for _, b in pairs}
+
+
+def test_corners_are_the_least_of_their_ranges():
+    h = simhash.shingles(" ".join(words(400, 3)))
+    of: dict = {}
+    for x in h.tolist():
+        of.setdefault(x >> 59, []).append(x)
+    assert simhash.corners_of(h).tolist() == [min(of[i]) for i in sorted(of)]
+    assert simhash.corners_of(h[:1]).tolist() == h[:1].tolist() and simhash.corners_of(h[:0]).tolist() == []
+
+
 def test_one_of_alike(spark):
     texts = ["a b c d", "a b c d", None, "", "other words entirely here now", "A B c d", " ".join(words(300, 1)), " ".join([*words(300, 1)[:299], "end"]), " ".join(words(300, 2))]
     df = documents(spark, texts)
