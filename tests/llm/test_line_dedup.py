@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -93,3 +94,12 @@ def test_lines_that_are_set_aside_first_have_no_neighbour(spark, monkeypatch):
     with_halves = sorted(map(tuple, line_dedup.kept_lines(df).collect()))
     monkeypatch.setattr(line_dedup, "_halves", lambda line: F.array(F.lit(1).cast("long")))  # all share a key
     assert sorted(map(tuple, line_dedup.kept_lines(df).collect())) == with_halves
+
+
+def test_a_text_of_very_many_lines(spark):
+    text = "\n".join(x for i in range(60_000) for x in (f"line number {i * 7919}", " "))
+    began = time.perf_counter()
+    found = {r.doc_id: r.text for r in line_dedup.dedup_lines(documents(spark, [text, text + "\nsomething else"])).collect()}
+    assert found[0] == text
+    assert found[1].strip() == "something else"
+    assert time.perf_counter() - began < 60

@@ -146,10 +146,10 @@ def dedup_lines(documents: DataFrame, key: str = "doc_id", text: str = "text", f
         least = each.groupBy(F.col(k).alias("doc"), F.col("r").alias("row")).agg(F.min("o").alias("least"))
         each = each.join(least, same(least)).select("all", "r", F.explode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: (i == 1) & (F.col("o") == F.col("least")))).alias("first"))
         once = once.join(twice, same(twice) & F.col(t).isNotNull(), "left_anti").unionByName(each.select("all.*", "r", "first"))
-    lines = F.split(F.col(t), "\n")
-    numbered = F.arrays_zip(lines.alias("l"), F.sequence(F.lit(0), F.size(lines) - 1).alias("i"))
-    blank = lambda x: F.trim(x["l"]) == ""
-    stays = F.array_join(F.transform(F.filter(numbered, lambda x: blank(x) | F.array_contains(F.col("kept"), x["i"])), lambda x: x["l"]), "\n")
-    told = F.when(F.col(t).isNull(), F.col(t)).when(F.col("kept").isNull() | ~F.col("first"), F.lit("")).otherwise(stays)
-    found = once.join(kept, same(kept), "left")
+    # the numbers of the lines that stay, then the lines at those: a text takes time in its lines, not in their square
+    split = once.withColumn("lines", F.split(F.col(t), "\n")).drop(t)
+    blank = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.trim(F.col("lines")[i]) == "")
+    stays = F.array_join(F.transform(F.array_sort(F.concat("kept", blank)), lambda i: F.col("lines")[i]), "\n")
+    told = F.when(F.col("lines").isNull(), F.lit(None).cast("string")).when(F.col("kept").isNull() | ~F.col("first"), F.lit("")).otherwise(stays)
+    found = split.join(kept, same(kept), "left")
     return found.select(*[told.alias(c) if c == t else F.col(c) for c in plain.columns]).toDF(*names)
