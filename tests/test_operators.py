@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import math
 import random
 from datetime import datetime
 
@@ -293,3 +295,16 @@ def test_distinct_items_of_a_large_page(spark):
             kept.append((s, i, g))
     found = folds.distinct_items(spark.createDataFrame(rows, "source string, item int, name string").repartition(3)).collect()
     assert sorted((x.source, x.item) for x in found) == sorted((s, i) for s, i, _ in kept)
+
+
+def test_means_add_up_in_their_order(spark):
+    """Doubles whose mean lies on a half: the order of adding decides, not how the rows are split."""
+    said = [0.0, 0.2, 0.25, 0.45]
+    rows = [(k, i, c, "update") for k in range(200) for i, c in enumerate(said if k % 2 else said[::-1])] + [(k, 9, 5.0, "suppressed") for k in range(200)]
+    half = lambda cs: math.floor(functools.reduce(lambda a, b: a + b, cs, 0.0) / len(cs) * 100 + 0.5) / 100
+    want = {k: half(said if k % 2 else said[::-1]) for k in range(200)}
+    assert set(want.values()) == {0.22, 0.23}
+    for parts, seed in ((1, 1), (7, 2), (16, 3)):
+        df = spark.createDataFrame(random.Random(seed).sample(rows, len(rows)), "k int, i int, confidence double, mode string").repartition(parts)
+        found = diff.overall_confidence(df, ["k"], F.col("i")).collect()
+        assert {r.k: r.confidence for r in found} == want and all(r.changes == 4 for r in found)

@@ -126,10 +126,18 @@ def long_fields(rows: DataFrame, keys: list[str], fields: list[str], name: str)
     return rows.select(*keys, *[F.col(f).cast("string").alias(f) for f in fields]).unpivot(keys, fields, "field", name)
 
 
-def overall_confidence(changes: DataFrame, keys: list[str]) -> DataFrame:
-    """The mean confidence of the changes that were proposed, for each key with any."""
+def overall_confidence(changes: DataFrame, keys: list[str], order: Column | None = None) -> DataFrame:
+    """The mean confidence of the changes that were proposed, for each key with any.
+
+    A sum of doubles depends on the order in which they are added, which decides means that lie on a half. With ``order``, which tells a key's changes
+    apart, they are added in that order, so that the result doesn't depend on how the rows are split; a key's changes are those of one record."""
     made = changes.where(~F.col("mode").isin("none", "suppressed"))
-    return made.groupBy(*keys).agg(F.count(F.lit(1)).alias("changes"), half_up(F.avg("confidence")).alias("confidence"))
+    if order is None:
+        return made.groupBy(*keys).agg(F.count(F.lit(1)).alias("changes"), half_up(F.avg("confidence")).alias("confidence"))
+    said = F.collect_list(F.when(F.col("confidence").isNotNull(), F.struct(order.alias("at"), F.col("confidence").cast("double").alias("c")))).alias("c_")
+    each = made.groupBy(*keys).agg(F.count(F.lit(1)).alias("changes"), said)
+    total = F.aggregate(F.array_sort("c_"), F.lit(0.0), lambda done, x: done + x["c"])
+    return each.select(*keys, "changes", half_up(F.when(F.size("c_") > 0, total / F.size("c_"))).alias("confidence"))
 
 
 def events_to_changes(events: DataFrame, allowed: list[str]) -> DataFrame:
