@@ -123,3 +123,17 @@ def test_dice_is_a_share(spark, pairs):
         a, b = ({s[i : i + 2] for i in range(len(s) - 1)} for s in (r.a, r.b))
         want = 2 * len(a & b) / (len(a) + len(b)) if a and b else 0.0
         assert r.s == r.t == pytest.approx(want) and 0 <= r.s <= 1
+
+
+def test_hours_are_read_once(spark):
+    """What parsers of hours and days make of a cell is worked out once, however often it is used."""
+    cells = [("9am-3pm",), ("Full or half: 9am-12pm, 12pm - 3pm",), ("half 9am-12pm, 8am - 3pm; 10am-5pm",), ("noon",), (None,)]
+    df = spark.createDataFrame(cells, "c string")
+    found = [(r.h.startTime, r.h.endTime) for r in df.select(P.hours("c").alias("h")).collect()]
+    assert found == [("9:00 AM", "3:00 PM"), ("9:00 AM", "12:00 PM"), ("8:00 AM", "3:00 PM"), (None, None), (None, None)]
+    patterns = lambda c: df.select(c)._jdf.queryExecution().optimizedPlan().toString().count("regexp_")
+    none = F.lit(None).cast("string")
+    once = patterns(P.hours("c").alias("h"))
+    assert once <= 60
+    assert patterns(P.run_sessions("c", P.hours("c")).alias("s")) <= once + 12
+    assert patterns(P.week_sessions(["c"] * 12, P.hours("c"), none, none).alias("s")) <= once + 12

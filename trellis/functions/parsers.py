@@ -274,10 +274,14 @@ def clock_time(raw: ColumnOrName, hour_zero: str = "12") -> Column:
     """H:MM AM or PM; null where the text is no such time."""
     low = F.regexp_replace(F.regexp_replace(F.lower(_trim(_col(raw))), r"a\.?m\.?", "am"), r"p\.?m\.?", "pm")
     pattern = r"^(\d{1,2})(?::(\d{2}))?\s*(am|pm)$"
-    hour = F.regexp_extract(low, pattern, 1).try_cast("int").cast("string")
-    minute = F.coalesce(F.nullif(F.regexp_extract(low, pattern, 2), F.lit("")), F.lit("00"))
-    hour = F.when(hour == "0", hour_zero).otherwise(hour)
-    return F.when(low.rlike(pattern), F.concat(hour, F.lit(":"), minute, F.lit(" "), F.upper(F.regexp_extract(low, pattern, 3))))
+
+    def said(low: Column) -> Column:
+        hour = F.regexp_extract(low, pattern, 1).try_cast("int").cast("string")
+        minute = F.coalesce(F.nullif(F.regexp_extract(low, pattern, 2), F.lit("")), F.lit("00"))
+        hour = F.when(hour == "0", hour_zero).otherwise(hour)
+        return F.when(low.rlike(pattern), F.concat(hour, F.lit(":"), minute, F.lit(" "), F.upper(F.regexp_extract(low, pattern, 3))))
+
+    return let(low, said)
 
 
 def minutes_of(clock: Column) -> Column:
@@ -297,12 +301,16 @@ def hours(raw: ColumnOrName) -> Column:
     each = lambda i: F.regexp_extract_all(raw, F.lit(TIME_SPAN), F.lit(i))
     spans = F.transform(F.arrays_zip(each(1).alias("a"), each(2).alias("b")), lambda x: F.struct(clock_time(x["a"]).alias("startTime"), clock_time(x["b"]).alias("endTime")))
     spans = F.filter(spans, lambda s: s["startTime"].isNotNull() & s["endTime"].isNotNull())
-    length = lambda s: minutes_of(s["endTime"]) - minutes_of(s["startTime"])
-    longest = F.array_max(F.transform(spans, length))
-    widest = F.try_element_at(F.filter(spans, lambda s: length(s) == longest), F.lit(1))
-    first = F.try_element_at(spans, F.lit(1))
     nothing = F.struct(_null("string").alias("startTime"), _null("string").alias("endTime"))
-    return F.coalesce(F.when((F.size(spans) == 1) | F.lower(raw).contains("full"), first).otherwise(widest), nothing)
+
+    def chosen(spans: Column) -> Column:
+        lengths = F.transform(spans, lambda s: minutes_of(s["endTime"]) - minutes_of(s["startTime"]))
+        widest = F.try_element_at(spans, let(lengths, lambda n: F.array_position(n, F.array_max(n)).cast("int")))
+        first = F.try_element_at(spans, F.lit(1))
+        return F.coalesce(F.when((F.size(spans) == 1) | F.lower(raw).contains("full"), first).otherwise(widest), nothing)
+
+    # each step is worked out once for a cell: what a lambda uses twice is otherwise made anew, down to the patterns
+    return let(spans, chosen)
 
 
 def care_time(raw: ColumnOrName, usual: str) -> Column:
@@ -343,11 +351,14 @@ def season_weeks() -> list[tuple[str, str, str]]:
 
 def marked_sessions(cells: list[tuple[ColumnOrName, str, str, str]], times: Column, early: Column, late: Column, no: tuple[str, ...] = ("n", "no")) -> Column:
     """cells: (column, label, first day, last day). A session for each cell that says anything but no."""
-    found = []
-    for cell, label, start, end in cells:
-        low = F.lower(_trim(F.coalesce(_col(cell), F.lit(""))))
-        found.append(F.when(~low.isin("", *no), _session(F.lit(label), F.lit(start), F.lit(end), times, early, late)))
-    return F.filter(F.array(*found), lambda s: s.isNotNull()) if found else _none(SESSION)
+    if not cells:
+        return _none(SESSION)
+
+    def found(t: Column) -> Column:
+        said = [(F.lower(_trim(F.coalesce(_col(cell), F.lit("")))), label, start, end) for cell, label, start, end in cells]
+        return F.array(*[F.when(~low.isin("", *no), _session(F.lit(label), F.lit(start), F.lit(end), t, early, late)) for low, label, start, end in said])
+
+    return F.filter(let(times, found), lambda s: s.isNotNull())
 
 
 def week_sessions(columns: list[ColumnOrName], times: Column, early: Column, late: Column) -> Column:
@@ -385,8 +396,9 @@ def run_sessions(raw: ColumnOrName, times: Column) -> Column:
     spans = F.transform(named, lambda m: F.struct(_day(empty(m["g5"], year), _month(m["g1"]), m["g2"]).alias("a"), _day(empty(m["g5"], year), _month(empty(m["g3"], m["g1"])), m["g4"]).alias("b")))
     spans = F.filter(spans, lambda s: s["a"].isNotNull() & s["b"].isNotNull())
     slashed = F.transform(all_of(SLASHED_SPAN, 4), lambda m: F.struct(_day(year, m["g1"], m["g2"]).alias("a"), _day(year, m["g3"], m["g4"]).alias("b")))
-    spans = F.when(F.size(spans) > 0, spans).otherwise(slashed)
-    return F.transform(spans, lambda s, i: _session(F.concat(F.lit("Session "), (i + 1).cast("string")), s["a"], s["b"], times))
+    spans = let(spans, lambda found: F.when(F.size(found) > 0, found).otherwise(slashed))
+    session = lambda s, i, t: _session(F.concat(F.lit("Session "), (i + 1).cast("string")), s["a"], s["b"], t)
+    return let(times, lambda t: F.transform(spans, lambda s, i: session(s, i, t)))
 
 
 # ── registration ───────────────────────────────────────────────────────────────────────────────
