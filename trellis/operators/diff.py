@@ -53,6 +53,11 @@ def relation_change(current: Column, candidate: Column) -> Column:
 
     additive: there was something, all of it stays, there is more, and some of it is new. An item
     without a key (null) counts as changed and never as additive."""
+    # the keys are worked out once: they are looked at ten times
+    return let(F.struct(current.alias("a"), candidate.alias("b")), lambda s: _compared(s["a"], s["b"]))
+
+
+def _compared(current: Column, candidate: Column) -> Column:
     broken = F.exists(current, lambda k: k.isNull()) | F.exists(candidate, lambda k: k.isNull())
     # both in one sorted array, where equal keys lie together, gone through once with a state of fixed size
     of = lambda keys, side: F.transform(F.filter(keys, lambda k: k.isNotNull()), lambda k: F.struct(k.alias("k"), F.lit(side).alias("side")))
@@ -70,7 +75,7 @@ def relation_change(current: Column, candidate: Column) -> Column:
         return F.struct(x["k"].alias("k"), (F.when(same, s["a"]).otherwise(0) + mine).alias("a"), (F.when(same, s["b"]).otherwise(0) + theirs).alias("b"), *past.values())
 
     finish = lambda s: F.struct(*[c.alias(n) for n, c in told(s).items()])
-    made = F.aggregate(F.array_sort(F.concat(of(current, 0), of(candidate, 1))), start, step, finish)
+    made = F.aggregate(F.sort_array(F.concat(of(current, 0), of(candidate, 1))), start, step, finish)
     # where no key repeats, multisets are sets
     lacks = lambda a, b: F.size(F.array_except(a, b))
     sets = F.struct(lacks(candidate, current).alias("added"), lacks(current, candidate).alias("removed"), (lacks(candidate, current) > 0).alias("novel"))
