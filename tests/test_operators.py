@@ -308,3 +308,43 @@ def test_means_add_up_in_their_order(spark):
         df = spark.createDataFrame(random.Random(seed).sample(rows, len(rows)), "k int, i int, confidence double, mode string").repartition(parts)
         found = diff.overall_confidence(df, ["k"], F.col("i")).collect()
         assert {r.k: r.confidence for r in found} == want and all(r.changes == 4 for r in found)
+
+
+def test_many_rows_of_one_name_or_site_are_no_pairs(spark):
+    """What many candidates and providers share is looked up once: joins write rows as there are candidates, not all pairs."""
+    n = 400
+    rows = [(i, i, "sunny camp", "a.org") for i in range(n)] + [(n + i, n + i, "sunny campy", "") for i in range(n)]
+    providers = [(9000 + i, "sunny campo", "b.org") for i in range(n)] + [(8000 + i, "sunny camp", "a.org") for i in range(n)]
+    c, p = spark.createDataFrame(rows, "id long, seq long, name string, domain string"), spark.createDataFrame(providers, "id long, name string, domain string")
+    found: dict = {}
+    joined = joined_rows(spark, lambda: found.update({x.id: (x.kind, x.matched) for x in matching.verdicts(c, p, c.limit(0)).collect()}))
+    assert found == {i: ("exact-duplicate", 8000) if i < n else ("near-duplicate", 8000) for i in range(2 * n)}
+    assert max(joined, default=0) <= 4 * n, joined
+    listings, camps = c.select("id", "name", F.col("domain").alias("url")), p.select(F.col("id").alias("camp_id"), "name", F.col("domain").alias("url"))
+    found.clear()
+    joined = joined_rows(spark, lambda: found.update({x.id: (x.action, x.camp_id) for x in matching.match_or_create(listings, camps, lambda t: X.stripped_name(t, False)).collect()}))
+    assert found == {i: ("skipped" if i < n else "flagged", 8000) for i in range(2 * n)}
+    assert max(joined, default=0) <= 4 * n, joined
+
+
+def test_names_of_many_pages_are_cut_up_once(spark):
+    """The grams of a name are made once, not once for each page that has it."""
+    names = ["alpha camp", "alpha campy", "beta ring", "gamma wood", "delta lake"]
+    rows = spark.createDataFrame([(p, i, names[(p + i) % 5]) for p in range(500) for i in range(3)], "source int, item int, name string")
+    found: set = set()
+    joined = joined_rows(spark, lambda: found.update((x.source, x.item) for x in folds.distinct_items(rows).collect()))
+    want = set()
+    for p in range(500):
+        kept: list = []
+        for i in range(3):
+            if all(dice(names[(p + i) % 5], k) < 0.75 for k in kept):
+                kept.append(names[(p + i) % 5])
+                want.add((p, i))
+    assert found == want and max(joined, default=0) <= 3 * 1500, joined
+
+
+def test_keys_of_a_relation_are_made_once(spark):
+    price = "array<struct<label:string,amount:double,unit:string,durationWeeks:double,ageQualifier:string,discountNotes:string>>"
+    df = spark.createDataFrame([([], [])], f"old {price}, new {price}").withColumns({"confidence": F.lit(0.9), "approved_at": F.lit(None).cast("timestamp")})
+    plan = diff.relation_changes(df, "pricing", AS_OF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("to_json") <= 2 * 2 * 2
