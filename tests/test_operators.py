@@ -9,11 +9,13 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from tests.compare import DATA, connect, differences
 from tests.metrics import joined_rows
 from trellis.functions import text as X
 from trellis.operators import diff, folds, matching, ranking, review, sets, trust
 from trellis.operators.keep import written
 from trellis.operators.nest import nest, with_latest
+from trellis.queries import ORACLE_SQL, QUERIES
 
 AS_OF = "2000-01-31 00:00:00"
 
@@ -131,6 +133,20 @@ def test_camp_rollup(spark):
     assert {r.camp_id: (r.state, r.confidence) for r in found.collect()} == {0: ("verified", "VERIFIED"), 1: ("disputed", "PLACEHOLDER"), 2: ("verified", "VERIFIED"), 3: ("unknown", "PLACEHOLDER"), 4: ("stale", "STALE")}
 
 
+def test_rollup_tasks_grow_with_the_claims(spark, monkeypatch):
+    """A task holds so many claims, however many there are; a camp's row is made without one for each requirement; a camp told twice counts twice."""
+    monkeypatch.setattr("trellis.operators.spread.ROWS", 500)
+    n = -(-spark.read.parquet(f"{DATA}/lineitem.parquet").count() // 500)
+    for name in ("n20_camp_rollup", "n35_downgrades", "a24_trust_coverage"):
+        df = QUERIES[name](spark, DATA)
+        assert differences(df, ORACLE_SQL[name], connect()) == ""
+        assert df.rdd.getNumPartitions() == n > 4
+    camps = spark.createDataFrame([(1,), (1,), (None,)], "camp_id int")
+    claims = spark.createDataFrame([(1, f, "assumed") for f in trust.CAMP_FIELDS] + [(None, "city", "verified"), (1, "other", "revoked")], "camp_id int, requirement string, state string")
+    found = trust.camp_rollup(camps, claims, claims.limit(0).select("camp_id", "state"))
+    assert {(r.camp_id, r.state, r.n, r.met) for r in found.collect()} == {(1, "verified", 18, 18), (None, "unknown", 9, 1)}
+
+
 def test_claims_go_stale_by_kind(spark):
     claims = spark.createDataFrame([(1, "camp-scalar-field"), (2, "session-registration-status"), (3, "other"), (4, "session-dates")], "claim_id int, kind string")
     events = spark.createDataFrame([(i, 1, "verified", "1999-12-01 00:00:00") for i in (1, 2, 3)] + [(1, 2, "disputed", "1999-11-01 00:00:00")], "claim_id int, event_id int, state string, t string").withColumn("at", F.col("t").cast("timestamp"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trellis.functions.text import resolve_excerpt
 from trellis.functions.values import days_elapsed
 from trellis.operators.nest import nest
+from trellis.operators.spread import dealt
 
 #: States of a claim, weakest first.
 STATES = ("revoked", "rejected", "superseded", "disputed", "stale", "unknown", "proposed", "assumed", "verified")
@@ -33,11 +34,12 @@ def state_of_rank(rank: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, STATES)), rank.cast("int") + 1)
 
 
-def claim_states(claims: DataFrame, events: DataFrame, as_of: str) -> DataFrame:
+def claim_states(claims: DataFrame, events: DataFrame, as_of: str, tasks: int | None = None) -> DataFrame:
     """claims: claim_id, kind; events: claim_id, event_id, state, at. claims with state and since.
 
     The newest event decides, ties by the larger id; without one the claim is unknown. A verified claim
-    is stale once its kind's days are over; kinds that aren't listed never expire."""
+    is stale once its kind's days are over; kinds that aren't listed never expire. ``tasks``: as in dealt()."""
+    claims, events = (dealt(side, tasks, "claim_id") for side in (claims, events.select("claim_id", "event_id", "state", "at")))
     newest = events.groupBy("claim_id").agg(F.max_by(F.struct("state", "at"), F.struct("at", "event_id")).alias("e_"))
     rows = claims.join(newest, "claim_id", "left")
     days = F.lit(None).cast("int")
@@ -48,10 +50,11 @@ def claim_states(claims: DataFrame, events: DataFrame, as_of: str) -> DataFrame:
     return rows.select(*claims.columns, state.alias("state"), F.col("e_.at").alias("since"))
 
 
-def requirement_states(wanted: DataFrame, claims: DataFrame, keys: list[str]) -> DataFrame:
+def requirement_states(wanted: DataFrame, claims: DataFrame, keys: list[str], tasks: int | None = None) -> DataFrame:
     """wanted: keys, requirement; claims: keys, requirement, state. wanted with state: that of the weakest of its claims.
     Claims that are all assumed count as verified; no claim at all is unknown."""
     by = [*keys, "requirement"]
+    wanted, claims = dealt(wanted, tasks, *by), dealt(claims, tasks, *by)
     each = claims.groupBy(*by).agg(F.min(state_rank(F.col("state"))).alias("r_"), F.bool_and(F.col("state") == "assumed").alias("assumed_"))
     state = F.when(F.col("assumed_"), "verified").when(F.col("r_").isNull(), "unknown").otherwise(state_of_rank(F.col("r_")))
     return wanted.join(each, by, "left").select(*wanted.columns, state.alias("state"))
@@ -70,11 +73,37 @@ def sessions_state(subjects: DataFrame, sessions: DataFrame, key: str) -> DataFr
     return subjects.select(key).join(worst, key, "left").select(key, F.lit(SESSIONS_VERIFIED).alias("requirement"), state.alias("state"))
 
 
-def camp_rollup(camps: DataFrame, claims: DataFrame, sessions: DataFrame, key: str = "camp_id", fields: tuple[str, ...] = CAMP_FIELDS) -> DataFrame:
-    """camps: key; claims: key, requirement, state; sessions: key, state. key, state, n, met and confidence."""
-    wanted = camps.select(key, F.explode(F.array(*map(F.lit, fields))).alias("requirement"))
-    every = requirement_states(wanted, claims, [key]).unionByName(sessions_state(camps, sessions, key))
-    return rolled_up(every, [key]).withColumn("confidence", data_confidence(F.col("state")))
+def _by_field(claims: DataFrame, key: str, fields: tuple[str, ...], tasks: int | None) -> DataFrame:
+    """key, and of each field by its place the rank of its weakest claim and whether all are assumed: a row for each subject."""
+    told = claims.where(F.col("requirement").isin(*fields)).select(key, F.array_position(F.array(*map(F.lit, fields)), F.col("requirement")).cast("int").alias("f_"), state_rank(F.col("state")).alias("r_"), (F.col("state") == "assumed").alias("a_"))
+    own = lambda i, c: F.when(F.col("f_") == i + 1, F.col(c))
+    return dealt(told, tasks, key).groupBy(key).agg(*[x for i in range(len(fields)) for x in (F.min(own(i, "r_")).alias(f"r{i}_"), F.bool_and(own(i, "a_")).alias(f"a{i}_"))])
+
+
+def _field_rank(i: int) -> Column:
+    """As requirement_states() has it, of _by_field()."""
+    return F.when(F.col(f"a{i}_"), STATES.index("verified")).otherwise(F.coalesce(f"r{i}_", F.lit(STATES.index("unknown"))))
+
+
+def field_states(subjects: DataFrame, claims: DataFrame, key: str, fields: tuple[str, ...] = CAMP_FIELDS, tasks: int | None = None) -> DataFrame:
+    """key, requirement, state: requirement_states() of all ``fields`` for each subject, which are put together by subject before they meet it."""
+    rows = dealt(subjects.select(key), tasks, key).join(_by_field(claims, key, fields, tasks), key, "left")
+    each = [F.struct(F.lit(f).alias("requirement"), state_of_rank(_field_rank(i)).alias("state")) for i, f in enumerate(fields)]
+    return rows.select(key, F.explode(F.array(*each)).alias("s_")).select(key, "s_.*")
+
+
+def camp_rollup(camps: DataFrame, claims: DataFrame, sessions: DataFrame, key: str = "camp_id", fields: tuple[str, ...] = CAMP_FIELDS, tasks: int | None = None) -> DataFrame:
+    """camps: key; claims: key, requirement, state; sessions: key, state. key, state, n, met and confidence.
+
+    As rolled_up() of requirement_states() and sessions_state(), with one row for each camp, not one for each of its requirements."""
+    rows = dealt(camps.select(key), tasks, key).groupBy(key).agg(F.count(F.lit(1)).alias("times_")).join(_by_field(claims, key, fields, tasks), key, "left")
+    worst = dealt(sessions.select(key, state_rank(F.col("state")).alias("s_")), tasks, key).groupBy(key).agg(F.min("s_").alias("s_"))
+    best = F.lit(STATES.index("verified"))
+    ranks = F.array(*[_field_rank(i) for i in range(len(fields))], F.coalesce("s_", best))
+    told = rows.join(worst, key, "left").select(key, "times_", ranks.alias("ranks_"))
+    met = F.size(F.filter("ranks_", lambda r: r == best))
+    out = told.select(key, state_of_rank(F.array_min("ranks_")).alias("state"), (F.col("times_") * (len(fields) + 1)).alias("n"), (F.col("times_") * met).alias("met"))
+    return out.withColumn("confidence", data_confidence(F.col("state")))
 
 
 def rollup_of_events(subjects: DataFrame, events: DataFrame, as_of: str, key: str = "camp_id") -> DataFrame:

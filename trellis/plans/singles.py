@@ -11,6 +11,7 @@ from trellis.functions import text as X
 from trellis.functions import values as V
 from trellis.operators import diff, folds, metrics, nest, ranking, review, trust
 from trellis.operators.keep import shared_file
+from trellis.operators.spread import tasks_for
 from trellis.plans.registry import AS_OF, Tables, query
 from trellis.sources import exports, sheets, tables
 
@@ -423,7 +424,7 @@ def n24_claim_states(t: Tables) -> DataFrame:
     """The newest event decides, until its days are over."""
     claims = t.customer.select(F.col("c_custkey").alias("claim_id"), F.when(F.col("c_custkey") % 2 == 0, "camp-scalar-field").otherwise("camp-repeated-field").alias("kind"))
     events = t.orders.select(F.col("o_custkey").alias("claim_id"), F.col("o_orderkey").alias("event_id"), F.when(F.col("o_orderstatus") == "P", "disputed").otherwise("verified").alias("state"), F.col("o_orderdate").cast("timestamp").alias("at"))
-    return trust.claim_states(claims, events, "2000-01-01 00:00:00").select("claim_id", "state")
+    return trust.claim_states(claims, events, "2000-01-01 00:00:00", tasks_for(t.orders)).select("claim_id", "state")
 
 
 @query("select p_partkey, case p_partkey % 9 when 8 then 'VERIFIED' when 4 then 'STALE' else 'PLACEHOLDER' end as confidence from part")
@@ -442,7 +443,7 @@ def n33_requirement_states(t: Tables) -> DataFrame:
     q = F.col("l_quantity")
     claims = t.lineitem.select("l_orderkey", F.col("l_returnflag").alias("requirement"), F.when(q < 10, "assumed").when(q < 20, "disputed").otherwise("verified").alias("state"))
     wanted = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.explode(F.array(*map(F.lit, "ANR"))).alias("requirement"))
-    return trust.requirement_states(wanted, claims, ["l_orderkey"])
+    return trust.requirement_states(wanted, claims, ["l_orderkey"], tasks_for(t.lineitem))
 
 
 @query("""
