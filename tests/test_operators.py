@@ -133,6 +133,19 @@ def test_camp_rollup(spark):
     assert {r.camp_id: (r.state, r.confidence) for r in found.collect()} == {0: ("verified", "VERIFIED"), 1: ("disputed", "PLACEHOLDER"), 2: ("verified", "VERIFIED"), 3: ("unknown", "PLACEHOLDER"), 4: ("stale", "STALE")}
 
 
+def test_rows_of_equal_names_are_unrolled_over_many_tasks(spark, monkeypatch):
+    """All pairs of rows, a missing key and a repeated one among them, from lists that the joins meet; more pairs are more tasks."""
+    monkeypatch.setattr(matching, "LIST", 7)
+    monkeypatch.setattr(matching, "PAIRS", 100)
+    a = [(i if i else None, ("north lake camp", "south hill", "")[i % 3]) for i in range(60)] + [(4, "south hill")]
+    b = [(i, ("north lake camps", "south hills", None)[i % 3]) for i in range(90)]
+    found = matching.near_names(spark.createDataFrame(a, "i int, n string"), "i", "n", spark.createDataFrame(b, "j int, m string"), "j", "m", digits=3)
+    key = lambda p: (p[0] is None, p[0] or 0, p[1])
+    want = sorted(((i, j, 0.966 if "lake" in n else 0.947) for i, n in a for j, m in b if n and m and n in m), key=key)
+    assert sorted(map(tuple, found.collect()), key=key) == want and len(want) == 1_230
+    assert found.rdd.getNumPartitions() == 12
+
+
 def test_rollup_tasks_grow_with_the_claims(spark, monkeypatch):
     """A task holds so many claims, however many there are; a camp's row is made without one for each requirement; a camp told twice counts twice."""
     monkeypatch.setattr("trellis.operators.spread.ROWS", 500)
