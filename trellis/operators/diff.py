@@ -142,7 +142,8 @@ def overall_confidence(changes: DataFrame, keys: list[str], order: Column | None
     said = F.collect_list(F.when(F.col("confidence").isNotNull(), F.struct(order.alias("at"), F.col("confidence").cast("double").alias("c")))).alias("c_")
     each = made.groupBy(*keys).agg(F.count(F.lit(1)).alias("changes"), said)
     total = F.aggregate(F.array_sort("c_"), F.lit(0.0), lambda done, x: done + x["c"])
-    return each.select(*keys, "changes", half_up(F.when(F.size("c_") > 0, total / F.size("c_"))).alias("confidence"))
+    means = each.select(*keys, "changes", F.when(F.size("c_") > 0, total / F.size("c_")).alias("mean_"))
+    return means.select(*keys, "changes", half_up("mean_").alias("confidence"))
 
 
 def events_to_changes(events: DataFrame, allowed: list[str]) -> DataFrame:

@@ -241,9 +241,9 @@ def a18_distinct_sets(t: Tables) -> DataFrame:
 
 @query("select l_orderkey, count(*) as changes, floor(avg(l_discount * 5) * 100 + 0.5) / 100 as confidence from lineitem where l_returnflag <> 'R' group by 1")
 def a29_overall_confidence(t: Tables) -> DataFrame:
-    """The mean over the changes that were proposed, added up as they are stored; suppressed ones don't count."""
+    """The mean over the changes that were proposed, added up as they are stored; suppressed ones don't count, nor do those without a flag."""
     at = F.struct("_metadata.file_path", "_metadata.row_index").alias("at")
-    rows = t.lineitem.select("l_orderkey", (F.col("l_discount") * 5).alias("confidence"), F.when(F.col("l_returnflag") == "R", "suppressed").otherwise("update").alias("mode"), at)
+    rows = t.lineitem.select("l_orderkey", (F.col("l_discount") * 5).alias("confidence"), F.when(F.col("l_returnflag") != "R", "update").otherwise("suppressed").alias("mode"), at)
     return diff.overall_confidence(rows, ["l_orderkey"], F.col("at"))
 
 
